@@ -152,7 +152,7 @@ def engagement_tiers(t: Tables, p: Params) -> DataFrame:
     dormant = F.col("members") - F.sum("n").over(month)
     below = dormant + F.coalesce(fewer, F.lit(0))
     others = F.col("members") - 1
-    median = F.percentile("events", 0.5, "n").over(month)
+    median = F.percentile("events", 0.5, F.col("n")).over(month)
     tiers = histogram.crossJoin(size).select(
         "event_month",
         "members",
