@@ -15,15 +15,13 @@ def user_domains(pages: DataFrame, domain: str | None = None) -> DataFrame:
     With ``domain`` only the users attributed to it are returned. Rows with a smaller domain
     cannot change whether a user's maximum equals it, so they are dropped at the scan.
     """
-    known = pages.filter(F.col("domain").isNotNull())
-    if domain is None:
-        return known.groupBy("user_id").agg(F.max("domain").alias("domain"))
-    return (
-        known.filter(F.col("domain") >= domain)
-        .groupBy("user_id")
-        .agg(F.max("domain").alias("domain"))
-        .filter(F.col("domain") == domain)
-    )
+    pairs = pages.select("user_id", "domain").filter(F.col("domain").isNotNull())
+    if domain is not None:
+        pairs = pairs.filter(F.col("domain") >= domain)
+    # A maximum over strings cannot use the hash aggregate and would sort every page view.
+    # Distinct pairs can, and leave little more than one row per user to sort.
+    greatest = pairs.distinct().groupBy("user_id").agg(F.max("domain").alias("domain"))
+    return greatest if domain is None else greatest.filter(F.col("domain") == domain)
 
 
 def domains_of(t: Tables, domain: str | None = None) -> DataFrame:

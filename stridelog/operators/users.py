@@ -30,15 +30,9 @@ def user_meta(users: DataFrame) -> DataFrame:
 
 def identities(users: DataFrame) -> DataFrame:
     """Attributes per (id, email, username, role), for snapshots with an email."""
-    return (
-        users.filter(F.col("email").isNotNull())
-        .groupBy("id", "email", "username", "role")
-        .agg(
-            F.max("license_type").alias("license_type"),
-            F.max("job_role").alias("job_role"),
-            F.min("created_at").alias("user_created_at"),
-        )
-    )
+    key = ("id", "email", "username", "role")
+    known = users.filter(F.col("email").isNotNull())
+    return _greatest(known, key, ("license_type", "job_role"), created=True)
 
 
 def user_latest(users: DataFrame, *columns: str, created: bool = False) -> DataFrame:
@@ -46,7 +40,22 @@ def user_latest(users: DataFrame, *columns: str, created: bool = False) -> DataF
 
     ``created`` adds the earliest ``created_at`` as ``user_created_at``.
     """
-    values = [F.max(c).alias(c) for c in columns]
-    if created:
-        values.append(F.min("created_at").alias("user_created_at"))
-    return users.groupBy("id").agg(*values)
+    return _greatest(users, ("id",), columns, created)
+
+
+def _greatest(
+    users: DataFrame, key: tuple[str, ...], columns: tuple[str, ...], created: bool
+) -> DataFrame:
+    """Maxima of text columns per key.
+
+    Repeated snapshots are collapsed on all columns first, which the hash aggregate does on
+    the map side; only the few different ones reach the sort that text maxima need.
+    """
+    first = [F.min("created_at").alias("user_created_at")] if created else []
+    merged = [F.min("user_created_at").alias("user_created_at")] if created else []
+    different = users.groupBy(*key, *columns).agg(*first) if created else users.select(
+        *key, *columns
+    ).distinct()
+    if not columns:
+        return different
+    return different.groupBy(*key).agg(*[F.max(c).alias(c) for c in columns], *merged)

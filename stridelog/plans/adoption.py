@@ -132,20 +132,23 @@ def feature_adoption_matrix(t: Tables, p: Params) -> DataFrame:
 def feature_engagement_quadrant(t: Tables, p: Params) -> DataFrame:
     """Reach (users) against depth (events per user) of each feature.
 
-    The exact median keeps a count per distinct value, and events per user take few values.
+    Average and exact median come from the histogram (feature, events per user).
     """
-    per_user = (
+    histogram = (
         _feature_activity(t, p, QUADRANT)
         .groupBy("feature", "user_id")
         .agg(F.sum("events").alias("events"))
+        .groupBy("feature", "events")
+        .agg(F.count(F.lit(1)).alias("n"), F.count("user_id").alias("users"))
     )
+    total = F.sum(F.col("events") * F.col("n"))
     return (
-        per_user.groupBy("feature")
+        histogram.groupBy("feature")
         .agg(
-            F.count("user_id").alias("unique_users"),
-            F.sum("events").alias("total_events"),
-            mean(F.sum("events"), F.count("events")).alias("avg_events_per_user"),
-            F.median("events").alias("median_events_per_user"),
+            F.sum("users").alias("unique_users"),
+            total.alias("total_events"),
+            mean(total, F.sum("n")).alias("avg_events_per_user"),
+            F.percentile("events", 0.5, F.col("n")).alias("median_events_per_user"),
         )
         .orderBy(F.desc("unique_users"), "feature")
     )

@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.localtime import local_date, local_month, local_time
+from ..functions.localtime import local_time
 from ..functions.numeric import INT_DIVISION, PCT_DIVISION, half_up, ntz, pct, ratio
 from ..functions.taxonomy import HEALTH
-from ..operators.activity import (
-    day_key,
-    home_domain_activity,
-    page_rows,
-    roll_up,
-    track_rows,
-)
+from ..operators.activity import day_key, page_rows, roll_up, track_rows
 from ..operators.domains import domains_of, in_domain
 from ..operators.users import user_latest
 from ..params import Params
@@ -22,41 +16,75 @@ from ..sources.tables import Tables
 
 
 def user_months(t: Tables, p: Params, first: int, last: int | None = None) -> DataFrame:
-    """(user_id, domain, event_month, days): active local days per user and month.
+    """(user_id, event_month, days): active local days per user and month.
 
     Only months from ``first`` up to ``last`` (offsets from the current one) are scanned, and
     nothing before the report's start.
     """
     start = max(p.start, p.month_start_utc(first))
     end = None if last is None else p.month_start_utc(last + 1)
-    user_days = home_domain_activity(
-        page_rows(t, start, end), track_rows(t, p, start, end), domains_of(t), [day_key(p)]
+    rows = page_rows(t, start, end).drop("domain").unionByName(track_rows(t, p, start, end))
+    return (
+        roll_up(rows, [day_key(p)])
+        .groupBy("user_id", F.trunc("event_date", "month").alias("event_month"))
+        .agg(F.count(F.lit(1)).alias("days"))
     )
-    return user_days.groupBy(
-        "domain", "user_id", F.trunc("event_date", "month").alias("event_month")
-    ).agg(F.count(F.lit(1)).alias("days"))
-
 
-def domain_sizes(t: Tables) -> DataFrame:
-    """(domain, members): all users ever attributed to each domain."""
-    return domains_of(t).groupBy("domain").agg(F.count("user_id").alias("members"))
 
+def account_months(t: Tables, p: Params, months: DataFrame) -> DataFrame:
+    """One row per domain from the activity in ``months``:
 
-def feature_breadth(t: Tables, p: Params) -> DataFrame:
-    """(domain, features): feature areas viewed since the start of the current month.
+    members, curr and prev (users of this and last month), kept (users of both), curr_days
+    (user-days of this month), features (feature areas viewed this month).
 
-    The month starts at midnight of the as-of clock and page views are compared in UTC.
+    Each input has one row per user and meets the domain lookup on the user id, so the lookup,
+    a scan of all page-view history, is built once and a single aggregate by domain follows.
     """
-    used = (
-        t.pages_between(p.month_start())
-        .select("user_id", HEALTH.page_label(F.col("name")).alias("feature"))
-        .filter(F.col("feature").isNotNull())
-        .distinct()
+    now = F.col("event_month") == F.lit(p.month())
+    before = F.col("event_month") == F.lit(p.month(-1))
+    status = months.groupBy("user_id").agg(
+        F.max(now).alias("now"),
+        F.max(before).alias("before"),
+        F.sum(F.when(now, F.col("days"))).alias("days"),
+    )
+    used = user_features(t, p)
+    areas = [c for c in used.columns if c != "user_id"]
+    breadth = sum(
+        (F.coalesce(F.max(F.col(area).cast("bigint")), F.lit(0)) for area in areas),
+        start=F.lit(0).cast("bigint"),
     )
     return (
-        used.join(domains_of(t), "user_id")
+        domains_of(t)
+        .join(status, "user_id", "left")
+        .join(used, "user_id", "left")
         .groupBy("domain")
-        .agg(F.count_distinct("feature").alias("features"))
+        .agg(
+            F.count("user_id").alias("members"),
+            F.count_if("now").alias("curr"),
+            F.count_if("before").alias("prev"),
+            F.count_if(F.col("now") & F.col("before")).alias("kept"),
+            F.sum("days").alias("curr_days"),
+            breadth.alias("features"),
+        )
+    )
+
+
+def user_features(t: Tables, p: Params) -> DataFrame:
+    """(user_id, one flag per feature area) of page views since the current month began.
+
+    The month starts at midnight of the as-of clock and page views are compared in UTC.
+    """
+    name = F.col("name")
+    return (
+        t.pages_between(p.month_start())
+        .filter(name.isNotNull())
+        .groupBy("user_id")
+        .agg(
+            *[
+                F.max(rule.matches(name)).alias(f"area_{i}")
+                for i, rule in enumerate(HEALTH.pages)
+            ]
+        )
     )
 
 
@@ -72,58 +100,45 @@ def customer_health_scorecard(t: Tables, p: Params) -> DataFrame:
     * the average covers the current and three earlier months, and any later one in the data;
     * stickiness divides by the days of the month elapsed before today, at least one.
     """
-    activity = user_months(t, p, first=-3)
-    this_month = F.col("event_month") == F.lit(p.month())
-    last_month = F.col("event_month") == F.lit(p.month(-1))
-    monthly = (
-        activity.groupBy("domain", "event_month")
-        .agg(F.count("user_id").alias("mau"), F.sum("days").alias("user_days"))
-        .groupBy("domain")
-        .agg(
-            F.max(F.when(this_month, F.col("mau"))).alias("curr"),
-            F.max(F.when(last_month, F.col("mau"))).alias("prev"),
-            F.max(F.when(this_month, F.col("user_days"))).alias("user_days"),
-            F.sum("mau").alias("mau_sum"),
-            F.count("mau").alias("months"),
-        )
-    )
-    retained = (
-        activity.filter(this_month | last_month)
-        .groupBy("domain", "user_id")
-        .agg(F.max(this_month).alias("now"), F.max(last_month).alias("before"))
+    months = user_months(t, p, first=-3)
+    # Left join and conditional sums, not a filter: the lookup is then the very plan that
+    # account_months uses, and its exchange is shared.
+    seen = F.col("event_month").isNotNull()
+    average = (
+        domains_of(t)
+        .join(months.drop("days"), "user_id", "left")
+        .groupBy("domain", "event_month")
+        .agg(F.count("user_id").alias("mau"))
         .groupBy("domain")
         .agg(
-            F.count_if("before").alias("prev_active"),
-            F.count_if(F.col("before") & F.col("now")).alias("kept"),
+            F.sum(F.when(seen, F.col("mau"))).alias("mau_sum"),
+            F.count("event_month").alias("months"),
         )
-        .filter(F.col("prev_active") > 0)
-    )
-    joined = (
-        monthly.join(domain_sizes(t), "domain")
-        .join(retained, "domain", "left")
-        .join(feature_breadth(t, p), "domain", "left")
+        .filter(F.col("months") > 0)
     )
-    zero = F.lit(0).cast("bigint")
-    curr, prev = F.coalesce("curr", zero), F.coalesce("prev", zero)
-    features, kept = F.coalesce("features", zero), F.coalesce("kept", zero)
+    curr, prev, members = F.col("curr"), F.col("prev"), F.col("members")
+    features, kept = F.col("features"), F.col("kept")
     elapsed = max(p.as_of.day - 1, 1)
-    score = _health_score(curr, F.col("members"), _trend(curr, prev), features, kept)
+    million = 10**6
+    mean_mau = half_up(F.col("mau_sum") * million, F.col("months"))
     return (
-        joined.select(
+        account_months(t, p, months)
+        .join(average, "domain")
+        .select(
             "domain",
-            F.col("members").alias("total_user_count"),
+            members.alias("total_user_count"),
             curr.alias("current_mau"),
             prev.alias("prev_mau"),
+            ratio(mean_mau, F.lit(million), scale=0).alias("avg_mau_3m"),
+            pct(curr, members).alias("license_util_pct"),
             ratio(
-                half_up(F.col("mau_sum") * 10**6, F.col("months")), F.lit(10**6), scale=0
-            ).alias("avg_mau_3m"),
-            pct(curr, F.col("members")).alias("license_util_pct"),
-            ratio(
-                F.col("user_days"), F.col("curr") * elapsed, scale=3, division=INT_DIVISION
+                F.col("curr_days"), curr * elapsed, scale=3, division=INT_DIVISION
             ).alias("stickiness"),
             features.alias("features_used"),
-            pct(kept, F.col("prev_active")).alias("retention_pct"),
-            score.alias("health_score"),
+            pct(kept, prev).alias("retention_pct"),
+            _health_score(curr, members, _trend(curr, prev), features, kept, prev).alias(
+                "health_score"
+            ),
         )
         .withColumn(
             "health_status",
@@ -146,7 +161,7 @@ def _trend(curr: Column, prev: Column) -> Column:
 
 
 def _health_score(
-    curr: Column, members: Column, trend2: Column, features: Column, kept: Column
+    curr: Column, members: Column, trend2: Column, features: Column, kept: Column, prev: Column
 ) -> Column:
     """Sum of the four quarters in units of 10^-7, with the places each division keeps.
 
@@ -155,11 +170,12 @@ def _health_score(
     """
     unit = 10**PCT_DIVISION
     share = F.least(half_up(curr * 10**INT_DIVISION, members), F.lit(10**INT_DIVISION))
+    several = F.when(prev > 1, prev)
     total = (
         share * (25 * unit // 10**INT_DIVISION)
         + trend2 * (25 * unit // 2)
         + half_up(features * (25 * unit), 6)
-        + half_up(kept * (25 * unit), F.nullif("prev_active", F.lit(1)))
+        + half_up(kept * (25 * unit), several)
     )
     return half_up(total, unit).cast("double")
 

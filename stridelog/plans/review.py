@@ -16,7 +16,7 @@ from ..operators.domains import domains_of
 from ..operators.users import user_latest
 from ..params import Params
 from ..sources.tables import Tables
-from .health import domain_sizes, feature_breadth, user_months
+from .health import account_months, user_months
 
 
 def qbr_deck_data(t: Tables, p: Params) -> DataFrame:
@@ -98,39 +98,15 @@ def _text(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 
 
-def _month_comparison(t: Tables, p: Params) -> DataFrame:
-    """(domain, curr, prev, curr_days): users of this and last month, user-days of this one.
-
-    A month without users gives NULL, not 0.
-    """
-    this_month = F.col("event_month") == F.lit(p.month())
-    last_month = F.col("event_month") == F.lit(p.month(-1))
-    users, days = F.count("user_id"), F.sum("days")
-    return (
-        user_months(t, p, first=-1, last=0)
-        .groupBy("domain", "event_month")
-        .agg(users.alias("mau"), days.alias("user_days"))
-        .groupBy("domain")
-        .agg(
-            F.max(F.when(this_month, F.col("mau"))).alias("curr"),
-            F.max(F.when(last_month, F.col("mau"))).alias("prev"),
-            F.max(F.when(this_month, F.col("user_days"))).alias("curr_days"),
-        )
-    )
-
-
 def multi_customer_comparison(t: Tables, p: Params) -> DataFrame:
     """Key figures of all domains side by side; domains without recent activity included.
 
     Stickiness is user-days over users times the days of the whole month.
     """
-    zero = F.lit(0).cast("bigint")
-    curr, prev = F.coalesce("curr", zero), F.coalesce("prev", zero)
-    possible = F.coalesce("curr", F.lit(1).cast("bigint")) * p.days_in_month
+    curr, prev = F.col("curr"), F.col("prev")
+    possible = F.greatest(curr, F.lit(1)) * p.days_in_month
     return (
-        domain_sizes(t)
-        .join(_month_comparison(t, p), "domain", "left")
-        .join(feature_breadth(t, p), "domain", "left")
+        account_months(t, p, user_months(t, p, first=-1, last=0))
         .select(
             "domain",
             F.col("members").alias("total_users"),
@@ -138,8 +114,8 @@ def multi_customer_comparison(t: Tables, p: Params) -> DataFrame:
             prev.alias("prev_mau"),
             (curr - prev).alias("mau_delta"),
             pct(curr, F.col("members")).alias("license_util_pct"),
-            ratio(F.coalesce("curr_days", zero), possible, scale=3).alias("stickiness"),
-            F.coalesce("features", zero).alias("feature_breadth"),
+            ratio(F.coalesce("curr_days", F.lit(0)), possible, scale=3).alias("stickiness"),
+            F.col("features").alias("feature_breadth"),
         )
         .orderBy(F.desc("current_mau"), "domain")
     )
@@ -149,41 +125,69 @@ def trending_alert(t: Tables, p: Params) -> DataFrame:
     """Risk flags per domain: falling users, no new users, low stickiness.
 
     A domain whose users fall to none has no current month to compare, so it raises neither
-    the first nor the last alert.
+    the first nor the last alert. All flags come from one row per domain.
     """
-    months = _month_comparison(t, p)
-    curr, prev, days = F.col("curr"), F.col("prev"), F.col("curr_days")
-    change = F.format_string("%.1f", pct(curr - prev, prev))
-    dropped = months.filter((prev > 0) & (curr * 10 < prev * 8)).select(
-        *_alert(
-            "MAU_DROP_20PCT",
-            F.concat(
-                F.lit("MAU dropped from "), prev, F.lit(" to "), curr, F.lit(" ("), change,
-                F.lit("%)"),
-            ),
+    now = F.col("event_month") == F.lit(p.month())
+    before = F.col("event_month") == F.lit(p.month(-1))
+    status = (
+        user_months(t, p, first=-1, last=0)
+        .groupBy("user_id")
+        .agg(
+            F.max(now).alias("now"),
+            F.max(before).alias("before"),
+            F.sum(F.when(now, F.col("days"))).alias("days"),
         )
     )
-    possible = curr * p.days_in_month
-    thousandths = half_up(days * 1000, possible) / F.lit(1000.0)
-    shortest = F.regexp_replace(F.format_string("%.3f", thousandths), r"\.?0+$", "")
-    unsticky = months.filter((curr > 0) & (days * 20 < possible)).select(
-        *_alert("LOW_STICKINESS", F.concat(F.lit("DAU/MAU ratio: "), shortest))
-    )
     recent = (
         user_latest(t.users, created=True)
         .filter(F.col("user_created_at") >= ntz(p.days_ago(30)))
         .select(F.col("id").alias("user_id"), F.lit(1).alias("recent"))
     )
-    stale = (
+    accounts = (
         domains_of(t)
+        .join(status, "user_id", "left")
         .join(recent, "user_id", "left")
         .groupBy("domain")
-        .agg(F.count("recent").alias("n"))
-        .filter(F.col("n") == 0)
-        .select(*_alert("ZERO_NEW_USERS", F.lit("No new users created in the last 30 days")))
+        .agg(
+            F.count_if("now").alias("curr"),
+            F.count_if("before").alias("prev"),
+            F.sum("days").alias("days"),
+            F.count("recent").alias("recent"),
+        )
+    )
+    curr, prev, days = F.col("curr"), F.col("prev"), F.col("days")
+    possible = curr * p.days_in_month
+    change = F.format_string("%.1f", pct(curr - prev, prev))
+    thousandths = half_up(days * 1000, possible) / F.lit(1000.0)
+    shortest = F.regexp_replace(F.format_string("%.3f", thousandths), r"\.?0+$", "")
+    alerts = F.array(
+        _alert(
+            "MAU_DROP_20PCT",
+            (curr > 0) & (curr * 10 < prev * 8),
+            F.concat(
+                F.lit("MAU dropped from "), prev, F.lit(" to "), curr, F.lit(" ("), change,
+                F.lit("%)"),
+            ),
+        ),
+        _alert(
+            "ZERO_NEW_USERS",
+            F.col("recent") == 0,
+            F.lit("No new users created in the last 30 days"),
+        ),
+        _alert(
+            "LOW_STICKINESS",
+            (curr > 0) & (days * 20 < possible),
+            F.concat(F.lit("DAU/MAU ratio: "), shortest),
+        ),
+    )
+    return (
+        accounts.select("domain", F.inline(F.filter(alerts, lambda alert: alert.raised)))
+        .drop("raised")
+        .orderBy("domain", "alert_type")
     )
-    return dropped.unionByName(stale).unionByName(unsticky).orderBy("domain", "alert_type")
 
 
-def _alert(kind: str, detail: Column) -> list[Column]:
-    return [F.col("domain"), F.lit(kind).alias("alert_type"), detail.alias("detail")]
+def _alert(kind: str, raised: Column, detail: Column) -> Column:
+    return F.struct(
+        raised.alias("raised"), F.lit(kind).alias("alert_type"), detail.alias("detail")
+    )

@@ -9,6 +9,11 @@ rules in prose.
 
 from __future__ import annotations
 
+import tempfile
+from functools import cache
+from hashlib import sha256
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +149,39 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def stored_fixture(spark: SparkSession, sf_dir: str) -> Tables:
+    """The same tables written once per application and read back.
+
+    They go to the shared folder named by ``spark.checkpoint.dir``, so reports scan Parquet
+    with pushed filters instead of repeating the derivation, and a lost executor costs no more
+    than its own tasks. A local session without the setting gets a folder of its own; on a
+    cluster without it the tables stay derived.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
+    if base is None:
+        return fixture_tables(spark, sf_dir)
+    app = spark.sparkContext.applicationId
+    root = f"{base}/stridelog/{app}/{sha256(sf_dir.encode()).hexdigest()[:12]}"
+    try:
+        return Tables.from_parquet(spark, root)
+    except AnalysisException:  # not written yet
+        derived = fixture_tables(spark, sf_dir)
+        for name in ("pages", "tracks", "users"):
+            getattr(derived, name).write.mode("overwrite").parquet(f"{root}/{name}")
+        return Tables.from_parquet(spark, root)
+
+
+def _local_folder(spark: SparkSession) -> str | None:
+    if not spark.sparkContext.master.startswith("local"):
+        return None
+    return _session_folder(spark.sparkContext.applicationId)
+
+
+@cache
+def _session_folder(app: str) -> str:
+    return tempfile.mkdtemp(prefix=f"stridelog-{app}-")
+
+
 def _activity(events: DataFrame, customer: DataFrame) -> DataFrame:
     segments = customer.select("c_custkey", "c_mktsegment")
     base = _project(events.join(segments, events.user_id == segments.c_custkey), _BASE)
