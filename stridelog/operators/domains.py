@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import Params
 from ..sources.tables import Tables
+from .maxima import greatest_text
 
 
 def user_domains(pages: DataFrame, domain: str | None = None) -> DataFrame:
@@ -18,9 +19,7 @@ def user_domains(pages: DataFrame, domain: str | None = None) -> DataFrame:
     pairs = pages.select("user_id", "domain").filter(F.col("domain").isNotNull())
     if domain is not None:
         pairs = pairs.filter(F.col("domain") >= domain)
-    # A maximum over strings cannot use the hash aggregate and would sort every page view.
-    # Distinct pairs can, and leave little more than one row per user to sort.
-    greatest = pairs.distinct().groupBy("user_id").agg(F.max("domain").alias("domain"))
+    greatest = greatest_text(pairs, ["user_id"], ["domain"])
     return greatest if domain is None else greatest.filter(F.col("domain") == domain)
 
 

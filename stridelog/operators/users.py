@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .maxima import greatest_text
+
 
 def user_meta(users: DataFrame) -> DataFrame:
     """Attributes per (id, email, username, domain, role), for snapshots with an email.
@@ -30,32 +32,21 @@ def user_meta(users: DataFrame) -> DataFrame:
 
 def identities(users: DataFrame) -> DataFrame:
     """Attributes per (id, email, username, role), for snapshots with an email."""
-    key = ("id", "email", "username", "role")
     known = users.filter(F.col("email").isNotNull())
-    return _greatest(known, key, ("license_type", "job_role"), created=True)
+    return greatest_text(
+        known, ["id", "email", "username", "role"], ["license_type", "job_role"], _created()
+    )
 
 
-def user_latest(users: DataFrame, *columns: str, created: bool = False) -> DataFrame:
-    """One row per id: the greatest value of each column, taken independently.
+def user_latest(users: DataFrame, *columns: str) -> DataFrame:
+    """One row per id: the greatest value of each column, taken independently."""
+    return greatest_text(users, ["id"], columns)
 
-    ``created`` adds the earliest ``created_at`` as ``user_created_at``.
-    """
-    return _greatest(users, ("id",), columns, created)
 
+def user_created(users: DataFrame) -> DataFrame:
+    """(id, user_created_at): the earliest creation time of each user."""
+    return users.groupBy("id").agg(_created())
 
-def _greatest(
-    users: DataFrame, key: tuple[str, ...], columns: tuple[str, ...], created: bool
-) -> DataFrame:
-    """Maxima of text columns per key.
 
-    Repeated snapshots are collapsed on all columns first, which the hash aggregate does on
-    the map side; only the few different ones reach the sort that text maxima need.
-    """
-    first = [F.min("created_at").alias("user_created_at")] if created else []
-    merged = [F.min("user_created_at").alias("user_created_at")] if created else []
-    different = users.groupBy(*key, *columns).agg(*first) if created else users.select(
-        *key, *columns
-    ).distinct()
-    if not columns:
-        return different
-    return different.groupBy(*key).agg(*[F.max(c).alias(c) for c in columns], *merged)
+def _created() -> Column:
+    return F.min("created_at").alias("user_created_at")

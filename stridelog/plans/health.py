@@ -101,19 +101,15 @@ def customer_health_scorecard(t: Tables, p: Params) -> DataFrame:
     * stickiness divides by the days of the month elapsed before today, at least one.
     """
     months = user_months(t, p, first=-3)
-    # Left join and conditional sums, not a filter: the lookup is then the very plan that
-    # account_months uses, and its exchange is shared.
-    seen = F.col("event_month").isNotNull()
+    # A left join that counts the matched days: lookup and user-months are then the very plans
+    # that account_months uses, and their exchanges are shared.
     average = (
         domains_of(t)
-        .join(months.drop("days"), "user_id", "left")
+        .join(months, "user_id", "left")
         .groupBy("domain", "event_month")
-        .agg(F.count("user_id").alias("mau"))
+        .agg(F.count("days").alias("mau"))
         .groupBy("domain")
-        .agg(
-            F.sum(F.when(seen, F.col("mau"))).alias("mau_sum"),
-            F.count("event_month").alias("months"),
-        )
+        .agg(F.sum("mau").alias("mau_sum"), F.count("event_month").alias("months"))
         .filter(F.col("months") > 0)
     )
     curr, prev, members = F.col("curr"), F.col("prev"), F.col("members")

@@ -57,9 +57,8 @@ def query(
     per_user = rows.groupBy(
         F.col("user_id").alias("__user"), *[F.col(d).alias(d) for d in own]
     ).agg(F.count(F.lit(1)).alias("n"))
-    attributes = user_latest(t.users, *[d for d in joined if d != "id"]) if set(joined) - {
-        "id"
-    } else t.users.select("id").distinct()
+    wanted = [d for d in joined if d != "id"]
+    attributes = user_latest(t.users, *wanted) if wanted else t.users.select("id").distinct()
     attributes = attributes.select(
         F.col("id").alias("__user"), *[F.col(d).alias(alias) for d, alias in keys.items()]
     )

@@ -19,7 +19,7 @@ from ..operators.activity import (
     track_rows,
 )
 from ..operators.domains import domains_of, in_domain
-from ..operators.users import user_latest
+from ..operators.users import user_created, user_latest
 from ..params import Params
 from ..sources.tables import Tables
 
@@ -80,7 +80,7 @@ def activation_funnel(t: Tables, p: Params) -> DataFrame:
         .agg(F.min("ts").alias("first_ts"))
     )
     created = (
-        user_latest(t.users, created=True)
+        user_created(t.users)
         .filter(F.col("user_created_at") >= ntz(p.start))
         .withColumnRenamed("id", "user_id")
     )

@@ -13,7 +13,7 @@ from ..operators.activity import (
     track_rows,
 )
 from ..operators.domains import domains_of
-from ..operators.users import user_latest
+from ..operators.users import user_created, user_latest
 from ..params import Params
 from ..sources.tables import Tables
 from .health import account_months, user_months
@@ -38,8 +38,11 @@ def qbr_deck_data(t: Tables, p: Params) -> DataFrame:
         )
         .groupBy("user_id", "event_month", "source", "name")
         .agg(F.sum("events").alias("events"))
+        # Always true. It keeps the roll-up whole in every section, so that they share it.
+        .filter(F.col("events") > 0)
     )
     users = F.count_distinct("user_id")
+    viewers = F.count_distinct(F.when(F.col("source") == "page", F.col("user_id")))
 
     mau = activity.groupBy("event_month").agg(users.alias("n")).select(
         *_section(
@@ -47,9 +50,9 @@ def qbr_deck_data(t: Tables, p: Params) -> DataFrame:
         )
     )
     pages = (
-        activity.filter(F.col("source") == "page")
-        .groupBy("name")
-        .agg(users.alias("n"))
+        activity.groupBy("name")
+        .agg(viewers.alias("n"), F.max(F.col("source") == "page").alias("is_page"))
+        .filter("is_page")
         .orderBy(F.desc("n"), "name")
         .limit(10)
         .select(*_section("2_TOP_FEATURES", F.col("name"), F.col("n"), F.lit("unique_users")))
@@ -66,7 +69,7 @@ def qbr_deck_data(t: Tables, p: Params) -> DataFrame:
         .select(*_section("3_TOP_USERS", F.col("email"), F.col("n"), F.col("role")))
     )
     created = (
-        user_latest(t.users, created=True)
+        user_created(t.users)
         .filter(F.col("user_created_at") >= ntz(since))
         .withColumnRenamed("id", "user_id")
     )
@@ -139,7 +142,7 @@ def trending_alert(t: Tables, p: Params) -> DataFrame:
         )
     )
     recent = (
-        user_latest(t.users, created=True)
+        user_created(t.users)
         .filter(F.col("user_created_at") >= ntz(p.days_ago(30)))
         .select(F.col("id").alias("user_id"), F.lit(1).alias("recent"))
     )
