@@ -30,19 +30,27 @@ class Taxonomy:
     pages: tuple[Rule, ...]
     events: tuple[Rule, ...] = ()
 
-    def page_label(self, name: Column) -> Column:
-        return classify(name, self.pages)
-
-    def event_label(self, event: Column) -> Column:
-        return classify(event, self.events)
-
-
-def classify(col: Column, rules: tuple[Rule, ...]) -> Column:
-    """Label of the first matching rule, NULL if none matches."""
-    label = F.when(rules[0].matches(col), rules[0].label)
-    for rule in rules[1:]:
-        label = label.when(rule.matches(col), rule.label)
-    return label
+    def page_label(self, name: Column, codes: dict[str, int] | None = None) -> Column:
+        return classify(name, self.pages, codes)
+
+    def event_label(self, event: Column, codes: dict[str, int] | None = None) -> Column:
+        return classify(event, self.events, codes)
+
+    def bits(self) -> dict[str, int]:
+        """A bit of its own for every label."""
+        labels = dict.fromkeys(rule.label for rule in (*self.pages, *self.events))
+        return {label: 1 << i for i, label in enumerate(labels)}
+
+
+def classify(
+    col: Column, rules: tuple[Rule, ...], codes: dict[str, int] | None = None
+) -> Column:
+    """Label of the first matching rule, or the label's code; NULL if none matches."""
+    result = F
+    for rule in rules:
+        value = rule.label if codes is None else codes[rule.label]
+        result = result.when(rule.matches(col), value)
+    return result
 
 
 # --- Fixed values: names, patterns and labels must stay exactly as they are. ---------------

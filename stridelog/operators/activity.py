@@ -107,12 +107,13 @@ def month_key(p: Params) -> Column:
     return local_month(F.col("ts"), p.tz).alias("event_month")
 
 
-def roll_up(rows: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
-    """One row per (user_id, *keys) with events, first_ts and last_ts."""
+def roll_up(rows: DataFrame, keys: Sequence[Column | str], *measures: Column) -> DataFrame:
+    """One row per (user_id, *keys) with events, first_ts, last_ts and further measures."""
     return rows.groupBy("user_id", *keys).agg(
         F.count(F.lit(1)).alias("events"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
+        *measures,
     )
 
 
@@ -138,7 +139,12 @@ def own_domain_activity(
 
 
 def home_domain_activity(
-    pages: DataFrame, tracks: DataFrame, domains: DataFrame, keys: Sequence[Column | str]
+    pages: DataFrame,
+    tracks: DataFrame,
+    domains: DataFrame,
+    keys: Sequence[Column | str],
+    *measures: Column,
 ) -> DataFrame:
     """As above, but page views too take their user's domain: one row per (user_id, *keys)."""
-    return roll_up(pages.drop("domain").unionByName(tracks), keys).join(domains, "user_id")
+    rows = pages.drop("domain").unionByName(tracks)
+    return roll_up(rows, keys, *measures).join(domains, "user_id")

@@ -230,24 +230,23 @@ def power_users(t: Tables, p: Params) -> DataFrame:
     """
     members = domains_of(t, p.require_domain())
     name = F.col("name")
+    bits, none = BREADTH.bits(), F.lit(0)
     pages = (
         page_rows(t, p.start)
         .filter(name.isNotNull())
-        .withColumn("feature", BREADTH.page_label(name))
+        .withColumn("area", F.coalesce(BREADTH.page_label(name, bits), none))
     )
-    tracks = track_rows(t, p, p.start).withColumn("feature", BREADTH.event_label(name))
-    labels = dict.fromkeys(rule.label for rule in (*BREADTH.pages, *BREADTH.events))
-    breadth = sum(
-        (F.max(F.when(F.col("feature") == label, 1).otherwise(0)) for label in labels),
-        start=F.lit(0).cast("bigint"),
+    tracks = track_rows(t, p, p.start).withColumn(
+        "area", F.coalesce(BREADTH.event_label(name, bits), none)
     )
+    # One row per user and day, features as bits: days and features need no distinct count.
     totals = (
-        home_domain_activity(pages, tracks, members, [day_key(p), "feature"])
+        home_domain_activity(pages, tracks, members, [day_key(p)], F.bit_or("area").alias("areas"))
         .groupBy("user_id")
         .agg(
             F.sum("events").alias("total_events"),
-            F.count_distinct("event_date").alias("active_days"),
-            breadth.alias("feature_breadth"),
+            F.count("event_date").alias("active_days"),
+            F.bit_count(F.bit_or("areas")).cast("bigint").alias("feature_breadth"),
         )
     )
     best = totals.agg(  # one row

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridelog.functions import taxonomy
-from stridelog.functions.localtime import local_date, local_month, local_week
+from stridelog.functions.localtime import local_date, local_month, local_time, local_week
 from stridelog.functions.numeric import (
     mean,
     minutes_between,
@@ -111,6 +111,24 @@ def test_local_calendar(spark):
     ]
 
 
+@pytest.mark.parametrize("zone", ["Asia/Kolkata", "America/New_York", "Asia/Kathmandu", "UTC"])
+@pytest.mark.parametrize("session_zone", ["UTC", "Europe/Berlin"])
+def test_local_time_equals_convert_timezone(spark, zone, session_zone):
+    minutes = spark.range(0, 366 * 1440, 7).select(
+        (
+            F.lit("2024-01-01 00:00:00.123456").cast("timestamp_ntz")
+            + F.expr("INTERVAL '1' MINUTE") * F.col("id")
+        ).alias("ts")
+    )
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        expected = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts"))
+        differs = local_time(F.col("ts"), zone) != expected
+        assert minutes.filter(differs).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_like_prefix_equals_like(spark):
     names = ["gtc_tree_x", "gtc-tree-x", "gtc_tree_", "gtc_tree", "gtcXtreeXy", "xgtc_tree_x", None]
     df = spark.createDataFrame([(n,) for n in names], "s string")
