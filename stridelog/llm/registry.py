@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, token_records
+from collections.abc import Callable
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from . import (
+    best_fit_packing,
+    byte_bpe,
+    exact_dedup,
+    language_id,
+    token_records,
+    toxicity,
+)
+from .shipping import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_packing": best_fit_packing.op9_best_fit_packing,
     "op10_token_records": token_records.op10_token_records,
 }
 
+
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
+
 SQL = {**exact_dedup.SQL}
