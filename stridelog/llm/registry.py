@@ -11,6 +11,7 @@ from . import (
     byte_bpe,
     exact_dedup,
     language_id,
+    quality_rules,
     token_records,
     toxicity,
 )
@@ -19,6 +20,7 @@ from .shipping import ship
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -38,4 +40,4 @@ def _shipped(query: Query) -> Query:
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
-SQL = {**exact_dedup.SQL}
+SQL = {**quality_rules.SQL, **exact_dedup.SQL}
