@@ -11,6 +11,7 @@ from . import (
     byte_bpe,
     exact_dedup,
     language_id,
+    license_scan,
     quality_rules,
     token_records,
     toxicity,
@@ -21,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
