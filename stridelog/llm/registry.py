@@ -12,7 +12,9 @@ from . import (
     exact_dedup,
     language_id,
     license_scan,
+    near_dedup,
     quality_rules,
+    substring_dedup,
     token_records,
     toxicity,
 )
@@ -21,9 +23,11 @@ from .shipping import ship
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_language_id": language_id.op6_language_id,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -42,4 +46,4 @@ def _shipped(query: Query) -> Query:
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
-SQL = {**quality_rules.SQL, **exact_dedup.SQL}
+SQL = {**substring_dedup.SQL, **quality_rules.SQL, **exact_dedup.SQL}
