@@ -75,7 +75,7 @@ def fit_nnpu(
     threshold), so features without evidence carry none.
     """
     rows = [*positive, *unlabelled]
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], np.int64)
     row = np.repeat(np.arange(len(rows)), sizes)
     column = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     is_positive = np.arange(len(rows)) < len(positive)
