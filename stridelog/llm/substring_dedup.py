@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, documents, null_safe, staged
 
 MIN_WORDS = 13
-ANCHOR_WORDS = 3
-#: Anchor occurrences that one task's tree may hold; larger groups get a longer prefix.
-GROUP_ROWS = 20_000
+ANCHOR_WORDS = 4
+#: Suffixes that one tree may have (about 200 bytes each); larger groups get a longer prefix.
+GROUP_SUFFIXES = 1_000_000
+#: Suffixes that one row carries, and that small groups are gathered to.
+ROW_SUFFIXES, TOGETHER = 64, 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-SUMMARY = """doc_id bigint, ord bigint, text_key binary, part bigint, n_words bigint,
-    sha string, anchors array<bigint>"""
+SUMMARY = "doc_id bigint, ord bigint, text_key binary, part bigint, n_words bigint, sha string"
+ANCHORS = "ord bigint, part bigint, anchor bigint, n bigint"
 SEGMENTS = "anchor bigint, second bigint, ord bigint, part bigint, start int, words binary"
 RUNS = "ord bigint, part bigint, start int, n int"
 RESULT = "ord bigint, part bigint, n_removed bigint, kept_sha256 string, kept_text string"
@@ -78,31 +80,45 @@ def text_part(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def _summarise(min_words: int):
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("ord", pa.int64()), ("text_key", pa.binary()),
-         ("part", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()),
-         ("anchors", pa.list_(pa.int64()))]
-    )
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, parts, counts, shas = [], [], [], []
+        for text in batch.column(2):
+            words = (text.as_py() or b"").split()
+            joined = b" ".join(words)
+            keys.append(xxhash.xxh3_128_digest(joined))
+            parts.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
+            counts.append(len(words))
+            shas.append(hashlib.sha256(joined).hexdigest())
+        columns = [
+            batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(parts, pa.int64()),
+            pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
+        ]
+        names = ["doc_id", "ord", "text_key", "part", "n_words", "sha"]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _anchors(min_words: int):
+    """Rows (ord, text) to one row per text and anchor, with the number of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, parts, counts, shas, anchors = [], [], [], [], []
-            for text in batch.column(2):
-                words = (text.as_py() or b"").split()
-                joined = b" ".join(words)
+            ranks, parts, anchors, counts = [], [], [], []
+            for rank, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = text.as_py().split()
+                if len(words) < min_words:
+                    continue
                 grams, at = window_anchors(word_hashes(words), min_words)
-                keys.append(xxhash.xxh3_128_digest(joined))
-                parts.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
-                counts.append(len(words))
-                shas.append(hashlib.sha256(joined).hexdigest())
-                anchors.append(np.unique(grams[at]).view(np.int64))
-            columns = [batch.column(0), batch.column(1), keys, parts, counts, shas, anchors]
+                found, n = np.unique(grams[at].view(np.int64), return_counts=True)
+                anchors.append(found)
+                counts.append(n)
+                ranks.append(np.full(len(found), rank))
+                parts.append(np.full(len(found), text_part(words)))
+            none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
-                [c if isinstance(c, pa.Array) else pa.array(c, f.type)
-                 for c, f in zip(columns, schema, strict=True)],
-                schema=schema,
-            )
+                [pa.array(np.concatenate(none + c).astype(np.int64)) for c in (ranks, parts, anchors, counts)],
+                ["ord", "part", "anchor", "n"],
+            )
 
     return run
 
@@ -110,7 +126,7 @@ def _summarise(min_words: int):
 def _segments(min_words: int, long_prefix: bool):
     """Rows for the suffixes that may repeat.
 
-    Suffixes with one anchor occurrence make one row: its words, from which all of them are read.
+    Neighbouring suffixes with one anchor make one row: its words, from which all of them are read.
     With ``long_prefix`` each suffix of a large group makes a row of its own, keyed by a 128-bit
     hash of its first ``min_words`` words.
     """
@@ -131,8 +147,11 @@ def _segments(min_words: int, long_prefix: bool):
                     two = rolled(mixed(h + _MULTIPLIER), min_words).view(np.int64)
                     out += [(int(one[i]), int(two[i]), rank, part, int(i), None) for i in chosen]
                     continue
-                new = np.diff(at[chosen], prepend=-1) != 0
-                new |= np.diff(chosen, prepend=-2) != 1
+                of = grams[at[chosen]]
+                new = np.diff(chosen, prepend=-2) != 1
+                new[1:] |= of[1:] != of[:-1]
+                begun = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                new |= (np.arange(len(new)) - begun) % ROW_SUFFIXES == 0
                 first = chosen[new]
                 last = np.append(chosen[np.flatnonzero(new)[1:] - 1], chosen[-1])
                 anchors = grams[at[first]].view(np.int64)
@@ -194,7 +213,7 @@ def repeats_in_groups(
     return segment[found], offset[found]
 
 
-def _trees(min_words: int, rows_at_once: int):
+def _trees(min_words: int):
     """Streams the sorted segments; groups are cut only where the prefix changes."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
@@ -217,12 +236,14 @@ def _trees(min_words: int, rows_at_once: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        suffixes = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= rows_at_once and row[0] != held[-1][0]:
+                if suffixes >= TOGETHER and row[0] != held[-1][0]:
                     yield flush(held)
-                    held = []
+                    held, suffixes = [], 0
                 held.append(row)
+                suffixes += len(row[-1]) // 8 - min_words + 1
         if held:
             yield flush(held)
 
@@ -255,7 +276,7 @@ def _remove(min_words: int):
 def substring_dedup(
     docs: DataFrame,
     min_words: int = MIN_WORDS,
-    group_rows: int = GROUP_ROWS,
+    group_suffixes: int = GROUP_SUFFIXES,
     with_text: bool = False,
 ) -> DataFrame:
     """One row per input row: words, removed words and digest of what is kept.
@@ -274,26 +295,26 @@ def substring_dedup(
         order_of(F.col("doc_id")).alias("ord"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    summary = staged(rows.mapInArrow(_summarise(min_words), SUMMARY), "summary")
-    light = summary.drop("anchors")
+    light = staged(rows.mapInArrow(_summarise, SUMMARY), "summary")
     firsts = light.groupBy("text_key").agg(F.min("ord").alias("first"))
     whole_copy = (F.col("ord") > F.col("first")) & (F.col("n_words") >= min_words)
     light = light.join(firsts, "text_key").withColumn("copy", whole_copy)
 
-    anchors = summary.select("ord", "part", F.explode("anchors").alias("anchor"))
+    text_of = rows.select("ord", "text")
+    anchors = text_of.mapInArrow(_anchors(min_words), ANCHORS)
     shared = staged(
         anchors.groupBy("anchor")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("n"))
         .filter("low < high")
-        .select("anchor", (F.col("n") > group_rows).alias("large")),
+        .select("anchor", (F.col("n") > group_suffixes).alias("large")),
         "shared_anchors",
     )
     searched = light.filter((F.col("n_words") >= min_words) & ~F.col("copy")).select("ord").distinct()
-    text_of = rows.select("ord", "text")
 
     def suffixes(large: bool) -> DataFrame:
         wanted = (
-            anchors.join(shared.filter(F.col("large") == large), "anchor")
+            anchors.select("ord", "anchor")
+            .join(shared.filter(F.col("large") == large), "anchor")
             .groupBy("ord")
             .agg(F.collect_set("anchor").alias("wanted"))
             .join(searched, "ord", "left_semi")
@@ -307,7 +328,7 @@ def substring_dedup(
         .select("anchor", "ord", "part", "start", "words")
         .repartition(partitions, "anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_trees(min_words, group_rows), RUNS)
+        .mapInArrow(_trees(min_words), RUNS)
     )
     if not shared.filter("large").isEmpty():
         whole = staged(suffixes(True).drop("words"), "long_prefixes")

@@ -192,16 +192,18 @@ def got_removed(df):
     return sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in dicts(df))
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 1])
-def test_substrings_equal_brute_force(docs, group_rows):
-    got = got_removed(substring_dedup(docs, group_rows=group_rows))
+@pytest.mark.parametrize("group_suffixes", [10**6, 1])
+def test_substrings_equal_brute_force(docs, group_suffixes):
+    got = got_removed(substring_dedup(docs, group_suffixes=group_suffixes))
     assert got == brute_removed(awkward())
 
 
-@pytest.mark.parametrize("group_rows", [20_000, 3])
-def test_substrings_of_few_words(llm, group_rows):
+@pytest.mark.parametrize("group_suffixes", [10**6, 20])
+def test_substrings_of_few_words(llm, group_suffixes):
     rows = [(i, prose(i, 5 + i, 3)) for i in range(40)]  # three words: everything repeats
-    assert got_removed(substring_dedup(table(llm, rows), group_rows=group_rows)) == brute_removed(rows)
+    rows += [(100 - i, "was " * (10 * i)) for i in range(30)]  # one word, more than a row's suffixes
+    got = got_removed(substring_dedup(table(llm, rows), group_suffixes=group_suffixes))
+    assert got == brute_removed(rows)
 
 
 def test_substring_stage(docs, empty):
