@@ -11,6 +11,17 @@ from . import accounts, behaviour, catalog, returning, usage
 from .base import with_inputs
 
 
+#: Registered variants of a report whose statement differs in inputs only.
+_WORKFLOWS = ("top_events_by_domain", "mau_by_domain", "derived_sessions")
+_MAINTAINED = ("mau_by_domain", "customer_health_scorecard")
+
+
 def all_sql() -> dict[str, str]:
     parts = (catalog.SQL, usage.SQL, behaviour.SQL, returning.SQL, accounts.SQL)
-    return {name: with_inputs(body) for part in parts for name, body in part.items()}
+    bodies = {name: body for part in parts for name, body in part.items()}
+    return {
+        **{name: with_inputs(body) for name, body in bodies.items()},
+        **{f"{name}_workflows": with_inputs(bodies[name], workflows=True) for name in _WORKFLOWS},
+        **{f"{name}_maintained": with_inputs(bodies[name]) for name in _MAINTAINED},
+        "mau_by_domain_panama": with_inputs(bodies["mau_by_domain"], minutes=-300),
+    }

@@ -28,7 +28,7 @@ seeds AS (
            c.c_mktsegment AS seg, json_extract(e.props, '$.k')::INT AS k,
            epoch_us(e.ts) // 86400000000 AS dn, epoch_us(e.ts) % 86400000000 AS us,
            (e.user_id + day(e.ts)) % 4 AS slot
-    FROM events e JOIN customer c ON c.c_custkey = e.user_id
+    FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id
 ),
 moved AS (
     SELECT *, least(CASE uk % 5 WHEN 0 THEN CASE WHEN slot < 2 THEN 0 ELSE 3 END
@@ -120,12 +120,18 @@ one AS (
 """
 
 
-def with_inputs(body: str) -> str:
-    """A full statement: inputs, then the body, which may open with its own CTEs."""
+def with_inputs(body: str, workflows: bool = False, minutes: int = 330) -> str:
+    """A full statement: inputs, then the body, which may open with its own CTEs.
+
+    ``workflows`` lets workflow events count; ``minutes`` is the offset of local time from UTC.
+    """
+    inputs = _INPUTS.replace("INTERVAL 330 MINUTE", f"to_minutes({minutes})")
+    if workflows:
+        inputs = inputs.replace("AND name NOT LIKE 'workflow_%'", "")
     body = body.strip()
     if body.startswith("WITH "):
-        return f"WITH {_INPUTS},\n{body[5:]}"
-    return f"WITH {_INPUTS}\n{body}"
+        return f"WITH {inputs},\n{body[5:]}"
+    return f"WITH {inputs}\n{body}"
 
 
 def half_up(num: str, den: str) -> str:

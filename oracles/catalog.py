@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from .base import NOW, START
+from .base import DOMAIN, NOW, START
 
 _RECENT = f"ts >= {NOW} - INTERVAL 3 MONTH"
 
+
+def _events(more: str) -> str:
+    return f"""
+        SELECT name AS event_text, count(*) AS total_occurrences,
+               count(DISTINCT user_id) AS unique_users, count(DISTINCT home) AS domains_using,
+               min(ts)::DATE AS first_seen, max(ts)::DATE AS last_seen
+        FROM act WHERE src = 'track' AND home IS NOT NULL AND {_RECENT} {more} GROUP BY name
+    """
+
+
 SQL = {
     "discover_domains": f"""
         SELECT domain, count(DISTINCT user_id) AS total_users, count(*) AS total_pageviews,
                min(ts)::DATE AS first_activity, max(ts)::DATE AS last_activity
         FROM pv WHERE domain IS NOT NULL AND {_RECENT} GROUP BY domain
     """,
-    "discover_events": f"""
-        SELECT name AS event_text, count(*) AS total_occurrences,
-               count(DISTINCT user_id) AS unique_users, count(DISTINCT home) AS domains_using,
-               min(ts)::DATE AS first_seen, max(ts)::DATE AS last_seen
-        FROM act WHERE src = 'track' AND home IS NOT NULL AND {_RECENT} GROUP BY name
-    """,
+    "discover_events": _events(""),
     "discover_pages": f"""
         SELECT name AS page_name, count(*) AS total_views,
                count(DISTINCT user_id) AS unique_users, count(DISTINCT domain) AS domains_using,
@@ -98,4 +103,25 @@ SQL = {
         FROM tr t LEFT JOIN one o ON o.id = t.user_id GROUP BY ALL
     """,
     "model_users": "SELECT role, plan, count(*) AS user_count FROM snap GROUP BY ALL",
+    "model_pages_of_admins": """
+        SELECT p.domain, p.name, count(*) AS event_count
+        FROM pv p JOIN one o ON o.id = p.user_id WHERE o.role = 'admin' GROUP BY ALL
+    """,
+    "model_tracks_where": """
+        SELECT o.role AS users_role, o.job_role AS users_job_role, count(*) AS event_count
+        FROM tr t LEFT JOIN one o ON o.id = t.user_id
+        WHERE t.name LIKE 'discovery%' GROUP BY ALL
+    """,
+    "model_tracks_dates": """
+        SELECT NULL::DATE AS date_derived, NULL::TIMESTAMP AS received_at, count(*) AS event_count
+        FROM tr
+    """,
+    "model_users_dates": """
+        SELECT created_at, tenant_created_at, count(*) AS user_count FROM snap GROUP BY ALL
+    """,
+    "model_pages_total": "SELECT count(*) AS event_count FROM pv",
+    "model_pages_dimensions": "SELECT DISTINCT tab, asset_type AS type_name FROM pv",
+    "user_domains_incremental": "SELECT user_id, domain FROM home",
+    "discover_events_term": _events("AND contains(lower(name), 'discovery')"),
+    "discover_events_domain": _events(f"AND home = {DOMAIN}"),
 }

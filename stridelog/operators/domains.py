@@ -23,6 +23,14 @@ def user_domains(pages: DataFrame, domain: str | None = None) -> DataFrame:
     return greatest if domain is None else greatest.filter(F.col("domain") == domain)
 
 
+def update_domains(old: DataFrame, new_pages: DataFrame) -> DataFrame:
+    """The lookup after ``new_pages``, from the lookup before them; history is not read again.
+
+    A maximum can be merged in any order, so late and repeated page views do no harm.
+    """
+    return greatest_text(old.unionByName(user_domains(new_pages)), ["user_id"], ["domain"])
+
+
 def domains_of(t: Tables, domain: str | None = None) -> DataFrame:
     """The lookup for a report: the maintained table if there is one, else derived."""
     if t.domains is None:

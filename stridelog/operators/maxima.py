@@ -12,7 +12,7 @@ def greatest_text(
     rows: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
-    also: Column | None = None,
+    *also: Column,
 ) -> DataFrame:
     """Maximum of each text column per key, each taken independently.
 
@@ -22,15 +22,21 @@ def greatest_text(
     apart: without it the optimizer sees that the maximum ignores duplicates and drops the
     first step.
 
-    ``also`` is a minimum to carry along, an aliased ``F.min`` over a number or timestamp.
+    ``also`` are extremes to carry along: aliased ``F.min`` or ``F.max`` of a number or timestamp.
+    They are taken in the first step and again, under the same name, in the second.
     """
-    extra = [] if also is None else [also]
     different = (
         rows.groupBy(*keys, *columns)
-        .agg(F.count(F.lit(1)).alias("__n"), *extra)
+        .agg(F.count(F.lit(1)).alias("__n"), *also)
         .filter(F.col("__n") >= 1)
     )
     carried = [c for c in different.columns if c not in (*keys, *columns, "__n")]
-    return different.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in columns], *[F.min(c).alias(c) for c in carried]
-    )
+    again = [
+        (F.max if _is_maximum(how) else F.min)(name).alias(name)
+        for name, how in zip(carried, also, strict=True)
+    ]
+    return different.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns], *again)
+
+
+def _is_maximum(extreme: Column) -> bool:
+    return "max(" in str(extreme)

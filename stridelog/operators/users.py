@@ -13,20 +13,13 @@ def user_meta(users: DataFrame) -> DataFrame:
 
     An id with several emails, domains or roles keeps several rows.
     """
-    return (
-        users.filter(F.col("email").isNotNull())
-        .groupBy("id", "email", "username", "domain", "role")
-        .agg(
-            F.max("license_type").alias("license_type"),
-            F.max("job_role").alias("job_role"),
-            F.max("personas").alias("personas"),
-            F.max("plan").alias("plan"),
-            F.max("salesforce_account_id").alias("salesforce_account_id"),
-            F.min("created_at").alias("user_created_at"),
-            F.min("tenant_created_at").alias("tenant_created_at"),
-            F.max("received_at").alias("last_identified_at"),
-            F.max("session_uuid").alias("last_session_uuid"),
-        )
+    return greatest_text(
+        users.filter(F.col("email").isNotNull()).withColumnRenamed("session_uuid", "last_session_uuid"),
+        ["id", "email", "username", "domain", "role"],
+        ["license_type", "job_role", "personas", "plan", "salesforce_account_id", "last_session_uuid"],
+        _created(),
+        F.min("tenant_created_at").alias("tenant_created_at"),
+        F.max("received_at").alias("last_identified_at"),
     )
 
 
@@ -38,9 +31,12 @@ def identities(users: DataFrame) -> DataFrame:
     )
 
 
-def user_latest(users: DataFrame, *columns: str) -> DataFrame:
-    """One row per id: the greatest value of each column, taken independently."""
-    return greatest_text(users, ["id"], columns)
+def user_latest(users: DataFrame, *columns: str, created: bool = False) -> DataFrame:
+    """One row per id: the greatest value of each column, taken independently.
+
+    ``created`` adds ``user_created_at``, the earliest creation time.
+    """
+    return greatest_text(users, ["id"], columns, *([_created()] if created else []))
 
 
 def user_created(users: DataFrame) -> DataFrame:

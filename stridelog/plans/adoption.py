@@ -63,24 +63,32 @@ def _per_user(total: str) -> Column:
 def connector_usage(t: Tables, p: Params) -> DataFrame:
     """Interactions per connector and asset type.
 
-    The two distinct counts expand every row; they run on (group, user, asset) combinations.
+    Users and assets are collapsed and counted separately, so no row is repeated for a second
+    distinct count; the joined results have one row per connector and type.
     """
     views = in_domain(t.pages_between(p.start), p).filter(
         F.col("connector_name").isNotNull() & F.col("domain").isNotNull()
     )
+    views = views.withColumn("asset_type", F.col("type_name"))
     group = ["domain", "connector_name", "asset_type"]
-    combinations = (
-        views.withColumn("asset_type", F.col("type_name"))
-        .groupBy(*group, "user_id", "asset_guid")
+    users = (
+        views.groupBy(*group, "user_id")
         .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*group)
+        .agg(F.sum("n").alias("interactions"), F.count("user_id").alias("unique_users"))
     )
+    assets = (
+        views.groupBy(*group, "asset_guid")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*group)
+        .agg(F.count("asset_guid").alias("unique_assets_viewed"))
+        .withColumnRenamed("asset_type", "counted_type")
+    )
+    same_type = F.col("asset_type").eqNullSafe(F.col("counted_type"))
     return (
-        combinations.groupBy(*group)
-        .agg(
-            F.sum("n").alias("interactions"),
-            F.count_distinct("user_id").alias("unique_users"),
-            F.count_distinct("asset_guid").alias("unique_assets_viewed"),
-        )
+        users.join(assets, ["domain", "connector_name"])
+        .filter(same_type)
+        .select(*group, "interactions", "unique_users", "unique_assets_viewed")
         .orderBy(F.desc("interactions"), *group)
     )
 

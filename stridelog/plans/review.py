@@ -57,27 +57,30 @@ def qbr_deck_data(t: Tables, p: Params) -> DataFrame:
         .limit(10)
         .select(*_section("2_TOP_FEATURES", F.col("name"), F.col("n"), F.lit("unique_users")))
     )
-    known = user_latest(t.users, "email", "role").withColumnRenamed("id", "user_id")
+    snapshots = t.users.filter(F.col("id").isNotNull())
+    known = user_latest(snapshots, "email", "role", created=True).withColumnRenamed("id", "user_id")
+    # Both sections group by all attributes first, so that they share one reduction of snapshots.
+    attributes = ["email", "role", "user_created_at"]
     top_users = (
         activity.groupBy("user_id")
         .agg(F.sum("events").alias("events"))
         .join(known, "user_id", "left")
+        .groupBy(*attributes)
+        .agg(F.sum("events").alias("events"))
         .groupBy("email", "role")
         .agg(F.sum("events").alias("n"))
         .orderBy(F.desc("n"), F.asc_nulls_last("email"), F.asc_nulls_last("role"))
         .limit(10)
         .select(*_section("3_TOP_USERS", F.col("email"), F.col("n"), F.col("role")))
     )
-    created = (
-        user_created(t.users)
-        .filter(F.col("user_created_at") >= ntz(since))
-        .withColumnRenamed("id", "user_id")
-    )
+    created = known.filter(F.col("user_created_at") >= ntz(since))
     new_users = (
         domains_of(t, domain)
         .join(created, "user_id")
+        .groupBy(*attributes)
+        .agg(F.count("user_id").alias("users"))
         .groupBy(F.trunc("user_created_at", "month").alias("month"))
-        .agg(F.count("user_id").alias("n"))
+        .agg(F.sum("users").alias("n"))
         .select(*_section("4_NEW_USERS", _text(F.col("month")), F.col("n"), F.lit("new_users")))
     )
     return (

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: SQL settings only. Sizes (executors, memory, shuffle partitions) belong to the cluster;
-#: adaptive execution coalesces from whatever shuffle width the cluster sets.
+#: What results depend on: local time and dates, and errors instead of silent NULLs. Sizes,
+#: adaptive execution and skew handling stay as the caller or the cluster sets them.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to an existing session and return it."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark

@@ -9,14 +9,16 @@ rules in prose.
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
+from dataclasses import replace
+from datetime import datetime
 from hashlib import sha256
+from uuid import uuid4
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.domains import update_domains, user_domains
 from .tables import Tables
 
 _BASE = {
@@ -149,42 +151,81 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
-def stored_fixture(spark: SparkSession, sf_dir: str) -> Tables:
-    """The same tables written once per application and read back.
+#: The maintained lookup is built from the page views before this instant and updated from the
+#: rest.
+LOOKUP_SINCE = datetime(2024, 3, 1)
 
-    They go to the shared folder named by ``spark.checkpoint.dir``, so reports scan Parquet
-    with pushed filters instead of repeating the derivation, and a lost executor costs no more
-    than its own tasks. A local session without the setting gets a folder of its own; on a
-    cluster without it the tables stay derived.
+
+def derived_fixture(spark: SparkSession, sf_dir: str) -> Tables:
+    """The derived tables with the lookup that results from one update."""
+    derived = fixture_tables(spark, sf_dir)
+    new = F.col("timestamp") >= F.lit(LOOKUP_SINCE).cast("timestamp_ntz")
+    lookup = update_domains(user_domains(derived.pages.filter(~new)), derived.pages.filter(new))
+    return replace(derived, domains=lookup)
+
+
+def prepare_fixture(spark: SparkSession, sf_dir: str) -> None:
+    """Write the derived tables to the shared folder named by ``spark.checkpoint.dir``.
+
+    Everything is written below a fresh name first; a marker file, created last and by one writer
+    only, then publishes that name. A write that fails or is still running is never read.
+    Without a shared folder there is nothing to do: queries derive their input.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
-    if base is None:
-        return fixture_tables(spark, sf_dir)
-    app = spark.sparkContext.applicationId
-    root = f"{base}/stridelog/{app}/{sha256(sf_dir.encode()).hexdigest()[:12]}"
+    root = _root(spark, sf_dir)
+    if root is None or _published(spark, root) is not None:
+        return
+    name = uuid4().hex
+    derived = derived_fixture(spark, sf_dir)
+    for table in ("pages", "tracks", "users", "domains"):
+        getattr(derived, table).write.parquet(f"{root}/{name}/{table}")
+    files, marker = _marker(spark, root)
     try:
-        return Tables.from_parquet(spark, root)
-    except AnalysisException:  # not written yet
-        derived = fixture_tables(spark, sf_dir)
-        for name in ("pages", "tracks", "users"):
-            getattr(derived, name).write.mode("overwrite").parquet(f"{root}/{name}")
-        return Tables.from_parquet(spark, root)
+        out = files.create(marker, False)
+    except Py4JJavaError:
+        if _published(spark, root) is None:
+            raise
+        return  # somebody else was first
+    out.write(bytearray(name.encode()))
+    out.close()
+
 
+def fixture(spark: SparkSession, sf_dir: str, domains: bool = False) -> Tables:
+    """The input tables, lazily: the published copy if there is one, else derived.
 
-def _local_folder(spark: SparkSession) -> str | None:
-    if not spark.sparkContext.master.startswith("local"):
+    ``domains`` adds the maintained lookup.
+    """
+    root = _root(spark, sf_dir)
+    name = None if root is None else _published(spark, root)
+    if name is not None:
+        return Tables.from_parquet(spark, f"{root}/{name}", domains=domains)
+    derived = derived_fixture(spark, sf_dir)
+    return derived if domains else replace(derived, domains=None)
+
+
+def _root(spark: SparkSession, sf_dir: str) -> str | None:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
         return None
-    return _session_folder(spark.sparkContext.applicationId)
+    app = spark.sparkContext.applicationId
+    return f"{base}/stridelog/{app}/{sha256(sf_dir.encode()).hexdigest()[:12]}"
 
 
-@cache
-def _session_folder(app: str) -> str:
-    return tempfile.mkdtemp(prefix=f"stridelog-{app}-")
+def _marker(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/published")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _published(spark: SparkSession, root: str) -> str | None:
+    files, marker = _marker(spark, root)
+    if not files.exists(marker):
+        return None
+    name = spark.read.text(f"{root}/published").first()
+    return name[0] if name and len(name[0]) == 32 else None
 
 
 def _activity(events: DataFrame, customer: DataFrame) -> DataFrame:
     segments = customer.select("c_custkey", "c_mktsegment")
-    base = _project(events.join(segments, events.user_id == segments.c_custkey), _BASE)
+    base = _project(events.join(segments, events.user_id == segments.c_custkey, "left"), _BASE)
     capped = F.when(
         (F.col("segment") == "FURNITURE") & (F.col("user_key") % 2 == 0),
         F.least("shift", F.lit(2)),

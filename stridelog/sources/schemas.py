@@ -117,9 +117,11 @@ def _schema(columns: tuple[str, ...]) -> T.StructType:
 PAGES = _schema(PAGES_COLUMNS)
 TRACKS = _schema(TRACKS_COLUMNS)
 USERS = _schema(USERS_COLUMNS)
+DOMAINS = _schema(("user_id", "domain"))
 
 #: Columns the reports read. The rest serves the semantic model only and may be absent.
 REQUIRED = {
+    "domains": {"user_id", "domain"},
     "pages": {
         "user_id",
         "timestamp",

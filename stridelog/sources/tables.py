@@ -20,7 +20,11 @@ class Tables:
     ``day_column`` names a DATE partition column holding the UTC day of ``timestamp`` (see
     ``layout.write_events``); when set, time bounds also prune partitions.
     ``domains`` may hold a maintained (user_id, domain) table equal to
-    ``operators.domains.user_domains(pages)``; reports then skip that full-history scan.
+    ``operators.domains.user_domains(pages)`` (see ``operators.domains.update_domains``); reports
+    then skip that full-history scan.
+
+    A column that the reports need must be there, and every known column must have its type;
+    columns that only the semantic model knows are NULL where a table lacks them.
     """
 
     pages: DataFrame
@@ -31,37 +35,40 @@ class Tables:
 
     def __post_init__(self) -> None:
         for name in ("pages", "tracks", "users"):
-            frame = getattr(self, name)
-            _check(name, frame, getattr(schemas, name.upper()))
+            checked = _checked(name, getattr(self, name), getattr(schemas, name.upper()))
+            object.__setattr__(self, name, checked)
+        if self.domains is not None:
+            object.__setattr__(self, "domains", _checked("domains", self.domains, schemas.DOMAINS))
 
     @classmethod
     def from_parquet(
-        cls, spark: SparkSession, root: str, day_column: str | None = None
+        cls,
+        spark: SparkSession,
+        root: str,
+        day_column: str | None = None,
+        domains: bool = False,
     ) -> Tables:
-        """Read ``{root}/pages``, ``{root}/tracks`` and ``{root}/users``.
+        """Read ``{root}/pages``, ``{root}/tracks``, ``{root}/users``, and ``{root}/domains`` if asked.
 
-        The schemas are given, so no job inspects file footers; a model column the files lack
-        reads as NULL and costs nothing.
+        The schemas come from the files, so a missing, renamed or mistyped column is an error
+        and never an empty report.
         """
-
-        def read(name: str) -> DataFrame:
-            schema = getattr(schemas, name.upper())
-            return spark.read.schema(schema).parquet(f"{root}/{name}")
-
-        return cls(read("pages"), read("tracks"), read("users"), day_column)
+        read = lambda name: spark.read.parquet(f"{root}/{name}")
+        lookup = read("domains") if domains else None
+        return cls(read("pages"), read("tracks"), read("users"), day_column, lookup)
 
     @classmethod
     def from_catalog(
-        cls, spark: SparkSession, database: str, day_column: str | None = None
+        cls,
+        spark: SparkSession,
+        database: str,
+        day_column: str | None = None,
+        domains: bool = False,
     ) -> Tables:
-        """Read the tables ``pages``, ``tracks`` and ``users`` of a catalog database."""
-        read = spark.table
-        return cls(
-            read(f"{database}.pages"),
-            read(f"{database}.tracks"),
-            read(f"{database}.users"),
-            day_column,
-        )
+        """Read the tables ``pages``, ``tracks``, ``users`` (and ``domains``) of a database."""
+        read = lambda name: spark.table(f"{database}.{name}")
+        lookup = read("domains") if domains else None
+        return cls(read("pages"), read("tracks"), read("users"), day_column, lookup)
 
     def pages_between(self, start: datetime | None, end: datetime | None = None) -> DataFrame:
         return self._between(self.pages, start, end)
@@ -84,15 +91,19 @@ class Tables:
         return rows
 
 
-def _check(name: str, frame: DataFrame, schema: T.StructType) -> None:
+def _checked(name: str, frame: DataFrame, schema: T.StructType) -> DataFrame:
+    """The frame with every column of ``schema``; ValueError or TypeError if it does not fit."""
     found = {field.name: field.dataType for field in frame.schema}
-    required = schemas.REQUIRED[name]
-    missing = required - found.keys()
+    missing = schemas.REQUIRED[name] - found.keys()
     if missing:
         raise ValueError(f"{name}: missing columns {sorted(missing)}")
+    absent = {}
     for field in schema:
-        if field.name in required and found[field.name] != field.dataType:
+        if field.name not in found:
+            absent[field.name] = F.lit(None).cast(field.dataType)
+        elif found[field.name] != field.dataType:
             raise TypeError(
                 f"{name}.{field.name}: expected {field.dataType.simpleString()}, "
                 f"found {found[field.name].simpleString()}"
             )
+    return frame.withColumns(absent) if absent else frame

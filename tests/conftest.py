@@ -13,22 +13,25 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from stridelog import Params, Tables  # noqa: E402
 from stridelog.session import configure  # noqa: E402
 from stridelog.sources import schemas  # noqa: E402
+from stridelog.sources.fixtures import prepare_fixture  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield configure(session)
+    prepare_fixture(configure(session), SF_DIR)
+    yield session
     session.stop()
 
 
