@@ -6,7 +6,8 @@ the child named by its value at each of them, so similar documents meet often an
 soon. Small nodes are compared exhaustively on sketches. In large nodes everything is compared
 with one leader: what is much like it is linked and leaves the tree (whatever is similar to it is
 linked to the leader as well), the rest branches on. A pair as similar as the threshold allows
-meets in one tree with a probability of 0.94, so three trees miss one in four thousand.
+meets in one tree with a probability of 0.94 (0.92 if it must go down to the third level), so
+three trees miss one in two to four thousand.
 
 Links on sketches only make candidate groups. Inside each group the links are confirmed on full
 sets, exactly and completely, and the confirmed links' components are the result.
@@ -32,9 +33,13 @@ SIGNATURE = 64
 TREES = 3
 SMALL_NODE = 64
 DEEPEST = 12
-#: Shares of equal sketch values: candidates (four standard errors below the threshold), and what
-#: is so much like a leader that all its partners are candidates with the leader too.
-CANDIDATE, ABSORBED = 0.6, 0.86
+#: Shares of equal sketch values: candidates (four standard errors below the threshold), and for
+#: large nodes what is so much like a leader that all its partners are linked to the leader too
+#: (partners are at most the threshold's distance farther away; links to a leader are few).
+CANDIDATE, ABSORBED, LED = 0.6, 0.75, 0.4
+#: Depth down to which a node has two children for each document; below, every fourth node has
+#: two and the others have one, so that pairs less alike than the threshold die out.
+BUSHY = 2
 #: Shingles of one candidate group that a task confirms at once.
 GROUP_SHINGLES = 4_000_000
 #: Members of a larger group that are compared with one copy of a leader's set.
@@ -71,7 +76,7 @@ def roots() -> np.ndarray:
 
 
 def children(paths: np.ndarray, signatures: np.ndarray) -> np.ndarray:
-    """The two children of each row: (rows, 2) path hashes. The node alone chooses coordinates."""
+    """Two children of each row: (rows, 2) path hashes. The node alone chooses coordinates."""
     first = mixed(paths + np.uint64(1)) % np.uint64(SIGNATURE)
     step = np.uint64(1) + mixed(paths + np.uint64(2)) % np.uint64(SIGNATURE - 1)
     out = []
@@ -122,25 +127,33 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(["path", "node"], paths.T.reshape(-1).view(np.int64), np.tile(nodes, 2))
 
 
-def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _beside_leader(depth: int):
     """Rows (path, node, leader, signature, leader's): links to the leader, and the next level.
 
     A link has a NULL path; a child has a NULL leader.
     """
+    return lambda batches: _compare_and_branch(batches, depth)
+
+
+def _compare_and_branch(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         paths, nodes, leaders = (batch.column(i).to_numpy() for i in range(3))
         own, other = _matrix(batch.column(3)), _matrix(batch.column(4))
         like = (own == other).mean(axis=1)
-        linked = (like >= CANDIDATE) & (nodes != leaders)
+        linked = (like >= LED) & (nodes != leaders)
         onward = (like < ABSORBED) & (nodes != leaders)
-        below = children(paths[onward].view(np.uint64), own[onward]).T.reshape(-1).view(np.int64)
+        above = paths[onward].view(np.uint64)
+        both = children(above, own[onward])
+        two = (mixed(above + np.uint64(3)) % np.uint64(4) == 0) | (depth < BUSHY)
+        below = np.concatenate([both[:, 0], both[two, 1]]).view(np.int64)
+        went = np.concatenate([nodes[onward], nodes[onward][two]])
         n = int(linked.sum())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(below)]),
-                pa.array(np.concatenate([nodes[linked], np.tile(nodes[onward], 2)])),
+                pa.array(np.concatenate([nodes[linked], went])),
                 pa.concat_arrays([pa.array(leaders[linked]), pa.nulls(len(below), pa.int64())]),
             ],
             ["path", "node", "leader"],
@@ -230,7 +243,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
             .join(nodes.select("node", "signature"), "node")
             .join(leaders, "path")
             .select("path", "node", "leader", "signature", "led_by")
-            .mapInArrow(_beside_leader, "path bigint, node bigint, leader bigint"),
+            .mapInArrow(_beside_leader(depth), "path bigint, node bigint, leader bigint"),
             "compared",
         )
         links.append(compared.filter("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("node").alias("b")))
