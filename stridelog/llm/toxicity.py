@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from .common import documents, is_held_out, staged
 
 #: Bounds of the sample that is learned from: rows, and code points of a text.
-POSITIVE_ROWS = 4000
-UNLABELLED_ROWS = 16000
-TRAIN_CHARS = 20_000
+POSITIVE_ROWS = 2000
+UNLABELLED_ROWS = 6000
+TRAIN_CHARS = 10_000
 #: Features are those of at least MIN_ROWS positive rows and MIN_SHARE of them (copies of a few
 #: rows must not pass for evidence) that are more frequent in positive rows by at least
 #: MIN_DIFFERENCE standard errors and whose rows are, by the share of toxic labels, toxic with a
