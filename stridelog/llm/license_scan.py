@@ -142,3 +142,68 @@ def _joined(labels: Column) -> Column:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    """The same votes in standard SQL, from single places instead of bit sets."""
+    rows = ", ".join(
+        f"('{phrase}', '{label}', {base}, {len(phrase.split())}, {at}, '{pair}')"
+        for phrases, base in ((BASE, "true"), (TEMPLATES, "false"))
+        for phrase, label in phrases.items()
+        for at, pair in enumerate(map(" ".join, zip(phrase.split(), phrase.split()[1:])))
+    )
+    return rf"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ),
+        template(phrase, label, base, size, place, pair) AS (VALUES {rows}),
+        places AS (
+            SELECT doc_id, i - 1 AS pos, words[i] || ' ' || words[i + 1] AS pair
+            FROM split, range(1, len(words)) AS r(i)
+        ),
+        votes AS (
+            SELECT doc_id, phrase, label, base, size, pos - place AS diagonal, place, pos
+            FROM places JOIN template USING (pair)
+        ),
+        exact AS (
+            SELECT doc_id, label, true AS base, min(pos) AS first, 1::DOUBLE AS cover
+            FROM votes WHERE base GROUP BY doc_id, phrase, label, size, diagonal
+            HAVING count(DISTINCT place) = size - 1
+        ),
+        diagonals AS (SELECT DISTINCT doc_id, phrase, diagonal FROM votes WHERE NOT base),
+        steps AS (
+            SELECT *, diagonal - lag(diagonal) OVER w AS gap FROM diagonals
+            WINDOW w AS (PARTITION BY doc_id, phrase ORDER BY diagonal)
+        ),
+        islands AS (
+            SELECT *, sum((coalesce(gap, {DRIFT + 1}) > {DRIFT})::INT) OVER w AS span FROM steps
+            WINDOW w AS (PARTITION BY doc_id, phrase ORDER BY diagonal)
+        ),
+        near AS (
+            SELECT v.doc_id, label, false AS base, min(pos) AS first,
+                   count(DISTINCT place)::DOUBLE / (size - 1) AS cover
+            FROM votes v JOIN islands i
+              ON v.doc_id = i.doc_id AND v.phrase = i.phrase AND v.diagonal = i.diagonal
+            WHERE NOT v.base GROUP BY v.doc_id, v.phrase, label, size, span
+            HAVING count(DISTINCT place)::DOUBLE / (size - 1) >= {MIN_COVER}
+        ),
+        found AS (
+            SELECT doc_id, count(*) FILTER (WHERE base) AS n_base,
+                   min(first) FILTER (WHERE base) AS first_word,
+                   max(first) FILTER (WHERE base) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+                   string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score
+            FROM (SELECT * FROM exact UNION ALL SELECT * FROM near) GROUP BY doc_id
+        )
+        SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+               first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               coalesce(score, 0)::DOUBLE AS score
+        FROM split s LEFT JOIN found f ON s.doc_id = f.doc_id
+    """
+
+
+SQL = {"op3_license_scan": _sql()}

@@ -46,4 +46,9 @@ def _shipped(query: Query) -> Query:
 
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
-SQL = {**substring_dedup.SQL, **quality_rules.SQL, **exact_dedup.SQL}
+SQL = {
+    **substring_dedup.SQL,
+    **quality_rules.SQL,
+    **license_scan.SQL,
+    **exact_dedup.SQL,
+}
