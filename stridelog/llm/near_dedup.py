@@ -6,8 +6,9 @@ the child named by its value at each of them, so similar documents meet often an
 soon. Small nodes are compared exhaustively on sketches. In large nodes everything is compared
 with one leader: what is much like it is linked and leaves the tree (whatever is similar to it is
 linked to the leader as well), the rest branches on. A pair as similar as the threshold allows
-meets in one tree with a probability of 0.94 (0.92 if it must go down to the third level), so
-three trees miss one in two to four thousand.
+meets in one tree with a probability of 0.94 at every depth. All trees read one signature, so the
+number of trees follows from a target: the miss of a pair at the threshold, averaged over the
+signatures it may have, in the deepest nodes (``missed``).
 
 Links on sketches only make candidate groups. Inside each group the links are confirmed on full
 sets, exactly and completely, and the confirmed links' components are the result.
@@ -16,6 +17,8 @@ sets, exactly and completely, and the confirmed links' components are the result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +33,38 @@ from .substring_dedup import mixed, order_of, rolled, word_hashes
 #: Percent of the union that the intersection must reach.
 THRESHOLD = 80
 SIGNATURE = 64
-TREES = 3
 SMALL_NODE = 64
 DEEPEST = 12
+#: Largest share of pairs at the threshold that may meet in no leaf of any tree.
+MISSED = 1 / 3000
 #: Shares of equal sketch values: candidates (four standard errors below the threshold), and for
 #: large nodes what is so much like a leader that all its partners are linked to the leader too
 #: (partners are at most the threshold's distance farther away; links to a leader are few).
 CANDIDATE, ABSORBED, LED = 0.6, 0.75, 0.4
-#: Depth down to which a node has two children for each document; below, every fourth node has
-#: two and the others have one, so that pairs less alike than the threshold die out.
-BUSHY = 2
 #: Shingles of one candidate group that a task confirms at once.
 GROUP_SHINGLES = 4_000_000
 #: Members of a larger group that are compared with one copy of a leader's set.
 MEMBERS_PER_COPY = 1000
 
+
+def missed(trees: int, depth: int = DEEPEST, like: float = THRESHOLD / 100) -> float:
+    """Share of the pairs with this similarity that meet in no node of ``depth`` of any tree.
+
+    The mean over the number of equal coordinates, by which a pair's trees depend on each other.
+    """
+    share = 0.0
+    for equal in range(SIGNATURE + 1):
+        same = equal / SIGNATURE
+        meets = 1.0
+        for _ in range(depth):
+            meets = 1 - (1 - same * meets) ** 2
+        chance = comb(SIGNATURE, equal) * like**equal * (1 - like) ** (SIGNATURE - equal)
+        share += chance * (1 - meets) ** trees
+    return share
+
+
+TREES = next(n for n in count(1) if missed(n) <= MISSED)
+
 _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 4096
@@ -127,15 +147,11 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(["path", "node"], paths.T.reshape(-1).view(np.int64), np.tile(nodes, 2))
 
 
-def _beside_leader(depth: int):
+def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (path, node, leader, signature, leader's): links to the leader, and the next level.
 
     A link has a NULL path; a child has a NULL leader.
     """
-    return lambda batches: _compare_and_branch(batches, depth)
-
-
-def _compare_and_branch(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -144,16 +160,12 @@ def _compare_and_branch(batches: Iterator[pa.RecordBatch], depth: int) -> Iterat
         like = (own == other).mean(axis=1)
         linked = (like >= LED) & (nodes != leaders)
         onward = (like < ABSORBED) & (nodes != leaders)
-        above = paths[onward].view(np.uint64)
-        both = children(above, own[onward])
-        two = (mixed(above + np.uint64(3)) % np.uint64(4) == 0) | (depth < BUSHY)
-        below = np.concatenate([both[:, 0], both[two, 1]]).view(np.int64)
-        went = np.concatenate([nodes[onward], nodes[onward][two]])
+        below = children(paths[onward].view(np.uint64), own[onward]).T.reshape(-1).view(np.int64)
         n = int(linked.sum())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(below)]),
-                pa.array(np.concatenate([nodes[linked], went])),
+                pa.array(np.concatenate([nodes[linked], np.tile(nodes[onward], 2)])),
                 pa.concat_arrays([pa.array(leaders[linked]), pa.nulls(len(below), pa.int64())]),
             ],
             ["path", "node", "leader"],
@@ -243,7 +255,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
             .join(nodes.select("node", "signature"), "node")
             .join(leaders, "path")
             .select("path", "node", "leader", "signature", "led_by")
-            .mapInArrow(_beside_leader(depth), "path bigint, node bigint, leader bigint"),
+            .mapInArrow(_beside_leader, "path bigint, node bigint, leader bigint"),
             "compared",
         )
         links.append(compared.filter("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("node").alias("b")))

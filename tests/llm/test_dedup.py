@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stridelog.llm import near_dedup
@@ -126,6 +127,50 @@ def test_chains_and_groups_larger_than_a_node(llm, monkeypatch):
     assert got_components(near_components(table(llm, rows))) == brute_components(rows)
 
 
+@pytest.mark.parametrize("depth", [4, 6, 8])
+def test_pairs_at_the_threshold_meet_in_deep_nodes(depth):
+    pairs = 2000
+    rng = np.random.default_rng(depth)
+    one, leader = rng.integers(0, 1 << 32, (2, pairs, 64))
+    two = np.where(rng.random(one.shape) < 0.81, one, rng.integers(0, 1 << 32, one.shape))
+    left, right, leader = (x.astype("<u4") for x in (one, two, leader))
+    names = ["path", "node", "leader", "signature", "led_by"]
+    pair = np.concatenate([np.arange(pairs), np.arange(pairs)])
+    signatures = np.concatenate([left, right])
+
+    def together(paths, nodes):
+        """The places where both of a pair are: each path and pair that occurs twice."""
+        places, n = np.unique(np.stack([paths, nodes % pairs], axis=1), axis=0, return_counts=True)
+        return places[n > 1]
+
+    def batch(level):
+        paths = np.concatenate([level[:, 0], level[:, 0]])
+        nodes = np.concatenate([level[:, 1], level[:, 1] + pairs])
+        bytes_of = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(paths), pa.array(nodes), pa.array(np.full(len(nodes), -1)),
+             bytes_of(signatures[nodes]), bytes_of(leader[pair[nodes]])],
+            names,
+        )
+
+    top = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(2 * pairs)), pa.array([s.tobytes() for s in signatures], pa.binary())],
+        ["node", "signature"],
+    )
+    out = list(near_dedup._first_level([top]))
+    for d in range(1, depth + 1):
+        paths, nodes = (np.concatenate([b.column(i).to_numpy() for b in out]) for i in (0, 1))
+        level = together(paths, nodes)
+        if d < depth:
+            out = list(near_dedup._beside_leader([batch(level)]))
+    lost = pairs - len(np.unique(level[:, 1]))
+    assert lost <= pairs / 1000
+
+
+def test_trees_follow_from_the_target():
+    assert near_dedup.missed(near_dedup.TREES) <= near_dedup.MISSED < near_dedup.missed(near_dedup.TREES - 1)
+
+
 def test_groups_too_large_for_a_task(llm):
     rows = chain(12)
     got = near_components(table(llm, rows), group_shingles=600)
