@@ -1,13 +1,12 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
+"""Substring dedup by fixed windows of words, grouped under anchors.
 
 A suffix is the text from one word on. Suffixes that can repeat are found first: every window of
 ``min_words`` words holds an anchor (the k-gram of words with the lowest hash in it), and equal
 windows have equal anchors, so a window whose anchor occurs in one text only cannot repeat. The
-suffixes of the other windows are grouped by a prefix, the anchor's words and what else lies in
-the window up to a variable length: groups that fit a task's memory keep the short prefix, larger
-ones are split by prefixes that are longer, in the end as long as the window. In each group the
-sorted suffixes and their common prefixes are the suffix tree, and its internal nodes of depth
-``min_words`` or more give the maximal repeats.
+suffixes of the other windows are grouped by their anchor: groups that fit a task's memory are
+sorted and compared on the window's words, larger ones are split by the hash of the whole window
+and aggregated. These windows stand in for suffix trees: what is removed depends on equal windows
+alone, so common prefixes longer than a window are not computed.
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ from .common import SPACE_CLASS, documents, null_safe, staged
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 4
-#: Suffixes that one tree may have (about 200 bytes each); larger groups get a longer prefix.
+#: Suffixes of one group compared in a task (about 200 bytes each); larger groups are split by the
+#: hash of the window.
 GROUP_SUFFIXES = 1_000_000
 #: Suffixes that one row carries, and that small groups are gathered to.
 ROW_SUFFIXES, TOGETHER = 64, 100_000
