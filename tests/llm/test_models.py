@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as registry
 import corpus_pipeline
@@ -15,6 +18,7 @@ from stridelog.llm import language_id, license_scan, quality_rules, toxicity
 from tests.conftest import SF_DIR
 
 from .conftest import awkward, by_id, dicts, prose, table
+from .test_dedup import brute_components
 
 # --- quality rules
 
@@ -212,6 +216,74 @@ def test_pipeline_on_awkward_documents(llm, docs, tmp_path):
     assert sorted({r["doc_id"] for r in packed if r["doc_id"] is not None}) == ids
 
 
+def brute_pipeline(rows, toxic, size=4096):
+    """Rows (doc_id, piece, start, length, ids_crc32), and the filled lengths of the sequences."""
+    rows = [(i, t) for i, t in rows if i not in toxic]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault("".join(t.split()), []).append((-len(t), i, t))
+    rows = [(i, t) for _, i, t in map(min, groups.values())]
+    rows = [(int(i), dict(rows)[int(i)]) for i, _, c in brute_components(rows, 5) if i == c]
+    first = {}
+    windows = {i: [tuple(w[k : k + 13]) for k in range(len(w) - 12)] for i, t in rows for w in [t.split()]}
+    for i, found in windows.items():
+        for window in found:
+            first[window] = min(first.get(window, i), i)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = []
+    for i, t in rows:
+        gone = {k + j for k, w in enumerate(windows[i]) if first[w] < i for j in range(13)}
+        kept = " ".join(w for k, w in enumerate(t.split()) if k not in gone)
+        ids = np.array([*tokenizer.encode(kept, add_special_tokens=False).ids, 1], "<u4")
+        for piece, start in enumerate(range(0, len(ids), size)):
+            part = ids[start : start + size]
+            out.append((i, piece, start, len(part), zlib.crc32(part.tobytes())))
+    filled = []
+    for length in sorted((r[3] for r in out), reverse=True):
+        at = max((k for k, n in enumerate(filled) if n + length <= size), key=filled.__getitem__, default=None)
+        if at is None:
+            filled.append(length)
+        else:
+            filled[at] += length
+    return sorted(out), sorted(filled)
+
+
+def test_pipeline_equals_brute_force(llm, tmp_path):
+    _, labels, rows = labelled(llm)
+    toxic = {i for i, _ in rows if i % 5 == 0}
+    for i in range(20):
+        words = prose(5000 + i, 80).split()
+        passage = prose(6000 + i, 20)
+        near = [*words[:40], "changed", *words[41:]]
+        rows += [
+            (1000 + i, " ".join(words)),
+            (1100 + i, "\n ".join(words)),  # copy but for white space, longer
+            (1200 + i, " ".join(near)),
+            (1300 + i, prose(7000 + i, 30) + " " + passage + " " + prose(7100 + i, 30)),
+            (1400 + i, prose(7200 + i, 40) + " " + passage),
+            (1500 + i, passage),  # nothing is left of it
+        ]
+    rows.append((1600, prose(8000, 5000)))  # more than a sequence
+    table(llm, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    expected, filled = brute_pipeline(rows, toxic)
+    packed = corpus_pipeline.run(llm, str(tmp_path))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert packed.columns == columns
+    got = [tuple(r[c] for c in columns) for r in dicts(packed)]
+    assert sorted(r[:5] for r in got) == expected
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r[5], []).append((r[6], r[3]))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+    assert sorted(sequences) == list(range(len(filled)))
+    assert sorted(sum(n for _, n in pieces) for pieces in sequences.values()) == filled
+
+
 NAMES = [n for n in registry.queries() if re.match(r"op\d+_|pipeline", n)]
 
 
