@@ -10,9 +10,12 @@ from . import (
     best_fit_packing,
     byte_bpe,
     exact_dedup,
+    exact_search,
+    hard_negatives,
     language_id,
     license_scan,
     near_dedup,
+    prefix_trie,
     quality_rules,
     substring_dedup,
     token_records,
@@ -33,6 +36,9 @@ _QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_best_fit_packing": best_fit_packing.op9_best_fit_packing,
     "op10_token_records": token_records.op10_token_records,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_exact_search": exact_search.op13_exact_search,
 }
 
 
@@ -51,4 +57,7 @@ SQL = {
     **quality_rules.SQL,
     **license_scan.SQL,
     **exact_dedup.SQL,
+    **hard_negatives.SQL,
+    **prefix_trie.SQL,
+    **exact_search.SQL,
 }
