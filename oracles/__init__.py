@@ -14,6 +14,12 @@ from .base import with_inputs
 #: Registered variants of a report whose statement differs in inputs only.
 _WORKFLOWS = ("top_events_by_domain", "mau_by_domain", "derived_sessions")
 _MAINTAINED = ("mau_by_domain", "customer_health_scorecard")
+#: Reports from the stored state; the statements know no state.
+_STORED = ("user_domains", "derived_sessions") + tuple(
+    f"{name}{suffix}"
+    for name in ("dau_by_domain", "wau_by_domain", "mau_by_domain", "mau_dau_ratio")
+    for suffix in ("", "_all")
+)
 
 
 def all_sql() -> dict[str, str]:
@@ -23,5 +29,11 @@ def all_sql() -> dict[str, str]:
         **{name: with_inputs(body) for name, body in bodies.items()},
         **{f"{name}_workflows": with_inputs(bodies[name], workflows=True) for name in _WORKFLOWS},
         **{f"{name}_maintained": with_inputs(bodies[name]) for name in _MAINTAINED},
+        **{_stored_name(name): with_inputs(bodies[name]) for name in _STORED},
+        "mau_by_domain_stored_workflows": with_inputs(bodies["mau_by_domain"], workflows=True),
         "mau_by_domain_panama": with_inputs(bodies["mau_by_domain"], minutes=-300),
     }
+
+
+def _stored_name(name: str) -> str:
+    return name[:-4] + "_stored_all" if name.endswith("_all") else f"{name}_stored"

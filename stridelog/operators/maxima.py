@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Extreme = Callable[[str], Column]
+
 
 def greatest_text(
     rows: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
-    *also: Column,
+    **also: tuple[str, Extreme],
 ) -> DataFrame:
     """Maximum of each text column per key, each taken independently.
 
@@ -22,21 +24,16 @@ def greatest_text(
     apart: without it the optimizer sees that the maximum ignores duplicates and drops the
     first step.
 
-    ``also`` are extremes to carry along: aliased ``F.min`` or ``F.max`` of a number or timestamp.
-    They are taken in the first step and again, under the same name, in the second.
+    ``also`` are extremes to carry along: name = (column, ``F.min`` or ``F.max``) of a number or
+    timestamp. They are taken in the first step and again, under their name, in the second.
     """
     different = (
         rows.groupBy(*keys, *columns)
-        .agg(F.count(F.lit(1)).alias("__n"), *also)
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            *[extreme(column).alias(name) for name, (column, extreme) in also.items()],
+        )
         .filter(F.col("__n") >= 1)
     )
-    carried = [c for c in different.columns if c not in (*keys, *columns, "__n")]
-    again = [
-        (F.max if _is_maximum(how) else F.min)(name).alias(name)
-        for name, how in zip(carried, also, strict=True)
-    ]
+    again = [extreme(name).alias(name) for name, (_, extreme) in also.items()]
     return different.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns], *again)
-
-
-def _is_maximum(extreme: Column) -> bool:
-    return "max(" in str(extreme)

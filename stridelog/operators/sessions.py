@@ -35,11 +35,37 @@ def sessionize(slots: DataFrame, gap: int = SESSION_GAP_SECONDS) -> DataFrame:
     seconds. ``session_id`` counts the sessions of a user from 1. Extra columns that depend
     on the user only (a domain) may be joined before or after.
     """
+    return _numbered(slots.withColumn("opens", F.lit(1)), gap)
+
+
+def continue_sessions(
+    last: DataFrame, slots: DataFrame, gap: int = SESSION_GAP_SECONDS
+) -> DataFrame:
+    """The sessions of ``slots`` after earlier events, of which only the ``last`` session is known.
+
+    ``last`` has one row (user_id, session_id, events, first_ts, last_ts) per user, all before
+    the slots. It comes out again, continued or not, with the sessions that follow it; numbers go
+    on from its own. So events can be sessionized load by load, and the result is the same as for
+    all of them together.
+    """
+    known = last.select(
+        "user_id",
+        F.lit(None).cast("bigint").alias("slot"),  # sorts first
+        "events",
+        "first_ts",
+        "last_ts",
+        F.col("session_id").alias("opens"),
+    )
+    new = slots.select("user_id", "slot", "events", "first_ts", "last_ts", F.lit(1).alias("opens"))
+    return _numbered(known.unionByName(new), gap)
+
+
+def _numbered(slots: DataFrame, gap: int) -> DataFrame:
+    """Sessions of slots that add ``opens`` to the number of sessions if they open one."""
     by_user = W.partitionBy("user_id").orderBy("slot")
     pause = seconds_between(F.lag("last_ts").over(by_user), F.col("first_ts"))
-    opens = F.when(pause <= gap, 0).otherwise(1)
     return (
-        slots.withColumn("opens", opens)
+        slots.withColumn("opens", F.when(pause <= gap, 0).otherwise(F.col("opens")))
         .withColumn("session_id", F.sum("opens").over(by_user))
         .groupBy("user_id", "session_id")
         .agg(
@@ -52,7 +78,11 @@ def sessionize(slots: DataFrame, gap: int = SESSION_GAP_SECONDS) -> DataFrame:
 
 def derived_sessions(rows: DataFrame, tz: str, gap: int = SESSION_GAP_SECONDS) -> DataFrame:
     """Sessions with local date and bounds, for (user_id, ts) events."""
-    sessions = sessionize(bursts(rows, gap), gap)
+    return described(sessionize(bursts(rows, gap), gap), tz)
+
+
+def described(sessions: DataFrame, tz: str) -> DataFrame:
+    """Local date and bounds of sessions."""
     start = local_time(F.col("first_ts"), tz)
     return sessions.select(
         "user_id",

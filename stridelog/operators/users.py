@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .maxima import greatest_text
 
+_CREATED = ("created_at", F.min)
+
 
 def user_meta(users: DataFrame) -> DataFrame:
     """Attributes per (id, email, username, domain, role), for snapshots with an email.
@@ -17,9 +19,9 @@ def user_meta(users: DataFrame) -> DataFrame:
         users.filter(F.col("email").isNotNull()).withColumnRenamed("session_uuid", "last_session_uuid"),
         ["id", "email", "username", "domain", "role"],
         ["license_type", "job_role", "personas", "plan", "salesforce_account_id", "last_session_uuid"],
-        _created(),
-        F.min("tenant_created_at").alias("tenant_created_at"),
-        F.max("received_at").alias("last_identified_at"),
+        user_created_at=_CREATED,
+        tenant_created_at=("tenant_created_at", F.min),
+        last_identified_at=("received_at", F.max),
     )
 
 
@@ -27,7 +29,10 @@ def identities(users: DataFrame) -> DataFrame:
     """Attributes per (id, email, username, role), for snapshots with an email."""
     known = users.filter(F.col("email").isNotNull())
     return greatest_text(
-        known, ["id", "email", "username", "role"], ["license_type", "job_role"], _created()
+        known,
+        ["id", "email", "username", "role"],
+        ["license_type", "job_role"],
+        user_created_at=_CREATED,
     )
 
 
@@ -36,13 +41,11 @@ def user_latest(users: DataFrame, *columns: str, created: bool = False) -> DataF
 
     ``created`` adds ``user_created_at``, the earliest creation time.
     """
-    return greatest_text(users, ["id"], columns, *([_created()] if created else []))
+    also = {"user_created_at": _CREATED} if created else {}
+    return greatest_text(users, ["id"], columns, **also)
 
 
 def user_created(users: DataFrame) -> DataFrame:
     """(id, user_created_at): the earliest creation time of each user."""
-    return users.groupBy("id").agg(_created())
-
-
-def _created() -> Column:
-    return F.min("created_at").alias("user_created_at")
+    column, extreme = _CREATED
+    return users.groupBy("id").agg(extreme(column).alias("user_created_at"))

@@ -58,11 +58,15 @@ def mau_by_domain(t: Tables, p: Params) -> DataFrame:
 
     "Before" is the previous month that has activity, not the previous calendar month.
     """
+    return with_change(_active_users(t, p, month_key(p), "event_month", "mau"))
+
+
+def with_change(months: DataFrame) -> DataFrame:
+    """The monthly report from (domain, event_month, mau)."""
     previous = F.lag("mau").over(W.partitionBy("domain").orderBy("event_month"))
     delta = F.col("mau") - F.col("prev_month_mau")
     return (
-        _active_users(t, p, month_key(p), "event_month", "mau")
-        .withColumn("prev_month_mau", previous)
+        months.withColumn("prev_month_mau", previous)
         .withColumn("mau_delta", delta)
         .withColumn("mau_change_pct", pct(F.col("mau_delta"), F.col("prev_month_mau")))
         .orderBy("domain", F.desc("event_month"))
@@ -89,6 +93,11 @@ def mau_dau_ratio(t: Tables, p: Params) -> DataFrame:
         F.bit_count(F.bit_or("day_bits")).cast("bigint").alias("days"),
         F.sum(F.when(known, F.bit_count("day_bits")).otherwise(0)).alias("user_days"),
     )
+    return stickiness(months)
+
+
+def stickiness(months: DataFrame) -> DataFrame:
+    """The ratio report from (domain, event_month, mau, days, user_days)."""
     mau, days, total = F.col("mau"), F.col("days"), F.col("user_days")
     million = 10**6
     avg_dau = half_up(total * million, days)

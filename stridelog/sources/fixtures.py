@@ -9,8 +9,9 @@ rules in prose.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import replace
-from datetime import datetime
+from datetime import date, datetime
 from hashlib import sha256
 from uuid import uuid4
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.domains import update_domains, user_domains
+from .state import Stored, UsageState
 from .tables import Tables
 
 _BASE = {
@@ -202,6 +204,29 @@ def fixture(spark: SparkSession, sf_dir: str, domains: bool = False) -> Tables:
     return derived if domains else replace(derived, domains=None)
 
 
+#: The stored state of the registered queries takes in the days in these loads.
+STATE_LOADS = (date(2024, 2, 10), date(2024, 3, 15), date(2024, 12, 31))
+
+
+def fixture_state(spark: SparkSession, sf_dir: str) -> Stored:
+    """The stored state of the input tables, after several loads.
+
+    It is built once per application, below the shared folder. Without one a local session gets a
+    temporary folder.
+    """
+    root = _root(spark, sf_dir)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stridelog-"))
+        root = _root(spark, sf_dir)
+    state = UsageState(spark, f"{root}/state")
+    tables = fixture(spark, sf_dir)
+    for through in STATE_LOADS:
+        state.update(tables, through)
+    return state.tables()
+
+
 def _root(spark: SparkSession, sf_dir: str) -> str | None:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -219,8 +244,10 @@ def _published(spark: SparkSession, root: str) -> str | None:
     files, marker = _marker(spark, root)
     if not files.exists(marker):
         return None
-    name = spark.read.text(f"{root}/published").first()
-    return name[0] if name and len(name[0]) == 32 else None
+    source = files.open(marker)
+    name = bytes(source.readAllBytes()).decode()
+    source.close()
+    return name if len(name) == 32 else None
 
 
 def _activity(events: DataFrame, customer: DataFrame) -> DataFrame:
