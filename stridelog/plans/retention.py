@@ -19,6 +19,7 @@ from ..operators.activity import (
     track_rows,
 )
 from ..operators.domains import domains_of, in_domain
+from ..operators.keyfilter import possible_keys
 from ..operators.users import user_created, user_latest
 from ..params import Params
 from ..sources.tables import Tables
@@ -69,28 +70,30 @@ def activation_funnel(t: Tables, p: Params) -> DataFrame:
 
     Accounts are dated in UTC, first events in local time, and events of any date count. An
     event before the creation date is a negative delay, which counts as activated.
+
+    Only events of the new users can matter, so those of all other users are left out, as far as
+    a filter of fixed size can tell, before the roll-up over all history.
     """
     domain = p.require_domain()
+    created = (
+        user_created(t.users)
+        .filter(F.col("user_created_at") >= ntz(p.start))
+        .withColumnRenamed("id", "user_id")
+    )
+    accounts = domains_of(t, domain).join(created, "user_id")
     pages = page_rows(t, None).filter(F.col("domain") == domain)
     # The new users are attributed to the domain already, so their events need no look-up.
+    events = pages.select("user_id", "ts").unionByName(track_rows(t, p, None).select("user_id", "ts"))
     first_event = (
-        pages.select("user_id", "ts")
-        .unionByName(track_rows(t, p, None).select("user_id", "ts"))
+        possible_keys(events, accounts.select("user_id"), "user_id")
         .groupBy("user_id")
         .agg(F.min("ts").alias("first_ts"))
     )
-    created = (
-        user_created(t.users)
-        .filter(F.col("user_created_at") >= ntz(p.start))
-        .withColumnRenamed("id", "user_id")
-    )
     delay = F.datediff(
         local_date(F.col("first_ts"), p.tz), F.to_date("user_created_at")
     )
     new_users = (
-        domains_of(t, domain)
-        .join(created, "user_id")
-        .join(first_event, "user_id", "left")
+        accounts.join(first_event, "user_id", "left")
         .withColumn("delay", delay)
         .withColumn("creation_month", F.trunc("user_created_at", "month"))
     )
@@ -212,9 +215,10 @@ def _day_n_retention(
     Only days with all N days behind them are cohorts; offsets nobody returned on stay, as 0.
 
     One row per user and active day carries whether it is a return; a range frame over the
-    next N days collects the return days (at most N), and the cohort aggregate counts each
-    offset. That takes one pass: no N-fold copy of the days, no join of days with days, and
-    the zero cells need no separate grid.
+    next N days collects the return days. These become offsets, one row each, and are counted by
+    (cohort, offset) on the map side, so the work follows the returns there are, not N. Two more
+    marks count the users of a cohort and keep cohorts of which no user is known. A cohort's at
+    most N + 2 counts then make its row, and the zero cells need no separate grid.
     """
     domain = p.require_domain()
     pages = page_rows(t, p.start).filter(F.col("domain") == domain)
@@ -232,22 +236,36 @@ def _day_n_retention(
     ahead = W.partitionBy("user_id").orderBy("day_no").rangeBetween(0, p.retention_days - 1)
     return_days = F.collect_list(F.when(F.col("returned"), F.col("day_no"))).over(ahead)
     last_cohort = p.as_of.date() - timedelta(days=p.retention_days)
-    known = F.col("user_id").isNotNull()
-    offsets = [
-        F.count_if(known & F.array_contains("return_days", F.col("day_no") + n))
-        for n in range(p.retention_days)
-    ]
-    cohorts = (
+    member, nobody = F.lit(-1), F.lit(-2)
+    offsets = F.transform("return_days", lambda day: day - F.col("day_no"))
+    marks = F.when(
+        F.col("user_id").isNotNull(), F.concat(F.array(member), offsets)
+    ).otherwise(F.array(nobody))
+    counts = (
         user_days.withColumn("return_days", return_days)
         .filter(F.col("event_date") <= F.lit(last_cohort))
-        .groupBy(F.col("event_date").alias("cohort_date"))
-        .agg(F.count("user_id").alias("cohort_size"), F.array(*offsets).alias("retained"))
+        .select(F.col("event_date").alias("cohort_date"), F.explode(marks).alias("mark"))
+        .groupBy("cohort_date", "mark")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    of = F.map_from_entries(F.collect_list(F.struct("mark", "n")))
+    count_of = lambda mark: F.coalesce(F.try_element_at("of", mark), F.lit(0))
     return (
-        cohorts.select(
-            "cohort_date", "cohort_size", F.posexplode("retained").alias("day_n", "retained_users")
+        counts.groupBy("cohort_date")
+        .agg(of.alias("of"))
+        .select(
+            "cohort_date",
+            count_of(member).alias("cohort_size"),
+            "of",
+            F.explode(F.sequence(F.lit(0), F.lit(p.retention_days - 1))).alias("day_n"),
+        )
+        .select(
+            "cohort_date",
+            "cohort_size",
+            "day_n",
+            count_of(F.col("day_n")).alias("retained_users"),
+            pct(count_of(F.col("day_n")), F.col("cohort_size")).alias("retention_pct"),
         )
-        .withColumn("retention_pct", pct(F.col("retained_users"), F.col("cohort_size")))
         .orderBy(F.desc("cohort_date"), "day_n")
     )
 

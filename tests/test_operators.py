@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelog.operators import activity, domains, sessions, users
+from stridelog.operators.keyfilter import possible_keys
 from stridelog.plans import model
 from stridelog.plans.catalog import REPORTS
 from stridelog.sources import layout
@@ -245,3 +246,14 @@ def test_model(make):
     for table, dims in (("pages", ["nope"]), ("users", ["users.role"]), ("none", [])):
         with pytest.raises(ValueError):
             model.query(t, table, dims)
+
+
+def test_possible_keys_keep_every_key_and_few_others(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("k"), "id").unionByName(
+        spark.createDataFrame([(None, -1)], "k string, id bigint")
+    )
+    wanted = spark.createDataFrame([("5",), ("77",), (None,), ("absent",)], "k string")
+    got = {r["k"] for r in possible_keys(rows, wanted, "k").collect()}
+    assert {"5", "77"} <= got and len(got) < 10 and None not in got
+    assert possible_keys(rows, wanted, "k").columns == ["k", "id"]
+    assert possible_keys(rows, wanted.limit(0), "k").isEmpty()

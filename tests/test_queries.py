@@ -1,6 +1,7 @@
 """Registered queries: SQL counterparts, invariants, shape of the plans."""
 
 import re
+from dataclasses import replace
 from datetime import timedelta
 
 import duckdb
@@ -151,3 +152,22 @@ def test_no_row_is_sorted_before_it_is_collapsed(spark):
     plan = _plan(spark, "user_roster_by_domain")
     partial = plan.split("SortAggregate(")[-1]
     assert "HashAggregate(" in partial.split("FileScan")[0]
+
+
+def test_only_new_users_are_rolled_up(spark):
+    """The funnel's filter by key lies below the roll-up of events, and is of fixed size."""
+    plan = _plan(spark, "activation_funnel")
+    (above, below) = plan.split("partial_min(ts")
+    assert "BroadcastHashJoin [__word" in below and "BroadcastHashJoin" not in above
+    assert "bit_or(" in below.split("BroadcastExchange")[1]
+
+
+def test_retention_work_does_not_grow_with_its_days(spark):
+    """No counter per day: the plan is the same for two weeks and for a year."""
+    size = {}
+    for days in (14, 365):
+        p = replace(registry.PARAMS, retention_days=days)
+        report = REPORTS["daily_retention_session_to_pageview"](fixture(spark, SF_DIR), p)
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+        size[days] = len(re.sub(r"#\d+|\d+", "", plan))
+    assert abs(size[14] - size[365]) < 50
