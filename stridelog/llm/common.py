@@ -50,9 +50,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on equal keys where NULL equals NULL; the right keys are dropped."""
-    names = [f"__{k}" for k in keys]
+    names = unused(left, *(f"other_{k}" for k in keys))
     right = right.withColumnsRenamed(dict(zip(keys, names, strict=True)))
     on = reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)))
     joined = left.join(right, on, how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, null_safe, staged, stripped, texts
+from .common import documents, null_safe, staged, stripped, texts, unused
 
 #: Members of a group that are compared with one copy of the group's first text.
 MEMBERS_PER_COPY = 1000
@@ -42,15 +42,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classed = null_safe(light, differing, keys, "left").withColumn(
         "variant", F.when(F.col("differs"), F.col("text_sha256")).otherwise("")
     )
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order"), (-F.col("row")).alias("r")))
+    order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "row")
+    best = F.min(order)
     groups = classed.groupBy("digest", "variant").agg(
         best.alias("best"), F.count("*").alias("group_size")
     )
     return classed.join(groups, ["digest", "variant"]).select(
         "doc_id",
-        (-F.col("best.order")).alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        (F.col("row") == -F.col("best.r")).alias("kept"),
+        (F.col("row") == F.col("best.row")).alias("kept"),
         "text_sha256",
     )
 
@@ -89,13 +90,13 @@ def _differing(rows: DataFrame, light: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of rows repeated with one id, one stays."""
     kept = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
-    sha = F.sha2(stripped(F.col("text")), 256)
-    same = Window.partitionBy("doc_id", "__sha").orderBy(F.char_length("text").desc_nulls_last())
-    marked = docs.withColumn("__sha", sha)
+    sha, copy = unused(docs, "sha", "copy")
+    same = Window.partitionBy("doc_id", sha).orderBy(F.char_length("text").desc_nulls_last())
+    marked = docs.withColumn(sha, F.sha2(stripped(F.col("text")), 256))
     return (
-        null_safe(marked, kept.withColumnRenamed("text_sha256", "__sha"), ["doc_id", "__sha"], "left_semi")
-        .withColumn("__copy", F.row_number().over(same))
-        .filter("__copy = 1")
+        null_safe(marked, kept.withColumnRenamed("text_sha256", sha), ["doc_id", sha], "left_semi")
+        .withColumn(copy, F.row_number().over(same))
+        .filter(F.col(copy) == 1)
         .select(*docs.columns)
     )
 

@@ -4,8 +4,8 @@ Sets are words' shingles; equal sets are joined first. Documents then walk down
 trees: a node of a tree chooses two coordinates of the minwise signature, and a document goes to
 the child named by its value at each of them, so similar documents meet often and others part
 soon. Small nodes are compared exhaustively on sketches. In large nodes everything is compared
-with one leader: what is much like it is linked and leaves the tree (whatever is similar to it is
-linked to the leader as well), the rest branches on. A pair as similar as the threshold allows
+with a few leaders: what is much like one of them is linked and leaves the tree (whatever is
+similar to it is linked to that leader as well), the rest branches on. A pair as similar as the threshold allows
 meets in one tree with a probability of 0.94 at every depth. All trees read one signature, so the
 number of trees follows from a target: the miss of a pair at the threshold, averaged over the
 signatures it may have, in the deepest nodes (``missed``).
@@ -33,8 +33,13 @@ from .substring_dedup import mixed, order_of, rolled, word_hashes
 #: Percent of the union that the intersection must reach.
 THRESHOLD = 80
 SIGNATURE = 64
-SMALL_NODE = 64
+#: Members of a node that are compared exhaustively; larger ones branch on.
+SMALL_NODE = 1024
+#: Leaders of a large node: of a group of near copies few members are unlike all of them.
+LEADERS = 16
 DEEPEST = 12
+#: Rows and columns of a block in which a node's sketches are compared.
+BLOCK = 128
 #: Largest share of pairs at the threshold that may meet in no leaf of any tree.
 MISSED = 1 / 3000
 #: Shares of equal sketch values: candidates (four standard errors below the threshold), and for
@@ -147,26 +152,45 @@ def _first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(["path", "node"], paths.T.reshape(-1).view(np.int64), np.tile(nodes, 2))
 
 
-def _beside_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, node, leader, signature, leader's): links to the leader, and the next level.
+def _beside_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, node, leaders, signature, their sketches): links to leaders, and the next level.
 
-    A link has a NULL path; a child has a NULL leader.
+    A link has a NULL path; a child has a NULL leader. A member is linked to the first leader it is
+    like; that this leader and another have members in common is said once per batch.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
-        paths, nodes, leaders = (batch.column(i).to_numpy() for i in range(3))
-        own, other = _matrix(batch.column(3)), _matrix(batch.column(4))
-        like = (own == other).mean(axis=1)
-        linked = (like >= LED) & (nodes != leaders)
-        onward = (like < ABSORBED) & (nodes != leaders)
+        paths, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        own = _matrix(batch.column(3))
+        sketch = own.astype(np.uint8)  # the first byte, as in the sketches
+        order = np.argsort(paths, kind="stable")
+        starts = np.flatnonzero(np.diff(paths[order], prepend=paths[order[0]] - 1))
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        onward = np.ones(len(nodes), bool)
+        for here, stop in zip(starts, [*starts[1:], len(nodes)], strict=True):
+            rows = order[here:stop]
+            leaders = np.array(batch.column(2)[int(rows[0])].as_py())
+            led_by = np.frombuffer(batch.column(4)[int(rows[0])].as_py(), np.uint8)
+            led_by = led_by.reshape(len(leaders), SIGNATURE)
+            like = np.stack([(sketch[rows] == one).mean(axis=1) for one in led_by], axis=1)
+            leads = nodes[rows, None] == leaders
+            linked = (like >= LED) & ~leads
+            onward[rows] = (like < ABSORBED).all(axis=1) & ~leads.any(axis=1)
+            some = linked.any(axis=1)
+            first = linked.argmax(axis=1)
+            links.append((leaders[first[some]], nodes[rows[some]]))
+            forest = Forest(len(leaders))
+            for x, y in {(int(first[i]), int(k)) for i, k in zip(*np.nonzero(linked))}:
+                if forest.join(x, y):
+                    links.append((leaders[[x]], leaders[[y]]))
         below = children(paths[onward].view(np.uint64), own[onward]).T.reshape(-1).view(np.int64)
-        n = int(linked.sum())
+        a, b = (np.concatenate(part) for part in zip(*links, strict=True))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(below)]),
-                pa.array(np.concatenate([nodes[linked], np.tile(nodes[onward], 2)])),
-                pa.concat_arrays([pa.array(leaders[linked]), pa.nulls(len(below), pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(below)]),
+                pa.array(np.concatenate([b, np.tile(nodes[onward], 2)])),
+                pa.concat_arrays([pa.array(a), pa.nulls(len(below), pa.int64())]),
             ],
             ["path", "node", "leader"],
         )
@@ -198,13 +222,16 @@ def _exhaustive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def links(nodes: list[int], sketches: list[bytes]) -> list[tuple[int, int]]:
         matrix = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SIGNATURE)
-        forest, out = Forest(len(nodes)), []
-        for i in range(0, len(nodes), SMALL_NODE):
-            block = matrix[i : i + SMALL_NODE]
-            for j in range(i, len(nodes), SMALL_NODE):
-                like = (block[:, None, :] == matrix[None, j : j + SMALL_NODE, :]).mean(axis=2)
-                for x, y in zip(*np.nonzero(like >= CANDIDATE)):
-                    if forest.join(i + int(x), j + int(y)):
+        forest, out, needed = Forest(len(nodes)), [], CANDIDATE * SIGNATURE
+        for i in range(0, len(nodes), BLOCK):
+            block = matrix[i : i + BLOCK]
+            for j in range(i, len(nodes), BLOCK):
+                other = matrix[j : j + BLOCK]
+                equal = np.zeros((len(block), len(other)), np.uint8)
+                for x, y in zip(block.T, other.T, strict=True):
+                    equal += x[:, None] == y
+                for x, y in zip(*(at.tolist() for at in np.nonzero(equal >= needed)), strict=True):
+                    if forest.join(i + x, j + y):
                         out.append((nodes[i + x], nodes[j + y]))
         return out
 
@@ -240,22 +267,36 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     level = staged(nodes.select("node", "signature").mapInArrow(_first_level, PATHS), "level")
     small, links = [], []
     for depth in range(1, DEEPEST + 1):
-        counts = level.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("leader"))
+        of = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
+        leaders = [F.min(F.when(of == i, F.col("node"))) for i in range(LEADERS)]
+        counts = level.groupBy("path").agg(
+            F.count("*").alias("n"), F.array_compact(F.array(*leaders)).alias("leaders")
+        )
         is_small = F.lit(depth == DEEPEST) | (F.col("n") <= SMALL_NODE)
-        counted = level.join(counts.filter("n > 1").withColumn("small", is_small), "path")
+        few = counts.filter("n > 1").select("path", is_small.alias("small"))
+        counted = level.join(few, "path")
         counted = staged(counted, "counted")
         small.append(counted.filter("small").select("path", "node"))
-        large = counted.filter(~F.col("small")).select("path", "node", "leader")
+        large = counted.filter(~F.col("small")).select("path", "node")
         if depth == DEEPEST or large.isEmpty():
             break
-        of_leader = nodes.select(F.col("node").alias("leader"), F.col("signature").alias("led_by"))
-        leaders = large.select("path", "leader").distinct().join(of_leader, "leader")
+        led_by = (
+            counts.filter(F.col("n") > SMALL_NODE)
+            .select("path", F.explode("leaders").alias("node"))
+            .join(sketch, "node")
+            .groupBy("path")
+            .agg(F.array_sort(F.collect_list(F.struct("node", "sketch"))).alias("led_by"))
+            .select(
+                "path",
+                F.col("led_by.node").alias("leaders"),
+                F.unhex(F.array_join(F.transform("led_by.sketch", F.hex), "")).alias("sketches"),
+            )
+        )
         compared = staged(
-            large.drop("leader")
-            .join(nodes.select("node", "signature"), "node")
-            .join(leaders, "path")
-            .select("path", "node", "leader", "signature", "led_by")
-            .mapInArrow(_beside_leader, "path bigint, node bigint, leader bigint"),
+            large.join(nodes.select("node", "signature"), "node")
+            .join(led_by, "path")
+            .select("path", "node", "leaders", "signature", "sketches")
+            .mapInArrow(_beside_leaders, "path bigint, node bigint, leader bigint"),
             "compared",
         )
         links.append(compared.filter("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("node").alias("b")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, null_safe, staged
+from .common import documents, staged, unused
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 4
@@ -32,10 +32,10 @@ ROW_SUFFIXES, TOGETHER = 64, 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 SUMMARY = "doc_id bigint, ord bigint, text_key binary, part bigint, n_words bigint, sha string"
-ANCHORS = "ord bigint, part bigint, anchor bigint, n bigint"
+ANCHORS = "ord bigint, part bigint, words_key bigint, anchor bigint, n bigint"
 SEGMENTS = "anchor bigint, second bigint, ord bigint, part bigint, start int, words binary"
 RUNS = "ord bigint, part bigint, start int, n int"
-RESULT = "ord bigint, part bigint, n_removed bigint, kept_sha256 string, kept_text string"
+RESULT = "ord bigint, part bigint, n_removed bigint, kept_sha256 string"
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -76,22 +76,21 @@ def order_of(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit((1 << 63) - 1))
 
 
-def text_part(words: list[bytes]) -> int:
+def words_key(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, parts, counts, shas = [], [], [], []
-        for text in batch.column(2):
+        keys, counts, shas = [], [], []
+        for text in batch.column(3):
             words = (text.as_py() or b"").split()
             joined = b" ".join(words)
             keys.append(xxhash.xxh3_128_digest(joined))
-            parts.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
             counts.append(len(words))
             shas.append(hashlib.sha256(joined).hexdigest())
         columns = [
-            batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(parts, pa.int64()),
+            batch.column(0), batch.column(1), pa.array(keys, pa.binary()), batch.column(2),
             pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
         ]
         names = ["doc_id", "ord", "text_key", "part", "n_words", "sha"]
@@ -99,12 +98,13 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchors(min_words: int):
-    """Rows (ord, text) to one row per text and anchor, with the number of its windows."""
+    """Rows (ord, part, text) to one row per text and anchor, with the number of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranks, parts, anchors, counts = [], [], [], []
-            for rank, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ranks, parts, keys, anchors, counts = [], [], [], [], []
+            ids = (batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for rank, part, text in zip(*ids, batch.column(2), strict=True):
                 words = text.as_py().split()
                 if len(words) < min_words:
                     continue
@@ -113,11 +113,13 @@ def _anchors(min_words: int):
                 anchors.append(found)
                 counts.append(n)
                 ranks.append(np.full(len(found), rank))
-                parts.append(np.full(len(found), text_part(words)))
+                parts.append(np.full(len(found), part))
+                keys.append(np.full(len(found), words_key(words)))
             none = [np.zeros(0, np.int64)]
+            columns = (ranks, parts, keys, anchors, counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(none + c).astype(np.int64)) for c in (ranks, parts, anchors, counts)],
-                ["ord", "part", "anchor", "n"],
+                [pa.array(np.concatenate(none + c).astype(np.int64)) for c in columns],
+                ["ord", "part", "words_key", "anchor", "n"],
             )
 
     return run
@@ -134,14 +136,14 @@ def _segments(min_words: int, long_prefix: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for rank, text, wanted in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for rank, part, text, wanted in zip(*batch.columns, strict=True):
                 words = text.as_py().split()
                 h = word_hashes(words)
                 grams, at = window_anchors(h, min_words)
                 chosen = np.flatnonzero(np.isin(grams[at].view(np.int64), wanted.values.to_numpy()))
                 if not len(chosen):
                     continue
-                rank, part = rank.as_py(), text_part(words)
+                rank, part = rank.as_py(), part.as_py()
                 if long_prefix:
                     one = rolled(h, min_words).view(np.int64)
                     two = rolled(mixed(h + _MULTIPLIER), min_words).view(np.int64)
@@ -173,9 +175,8 @@ _RUN_SCHEMA = pa.schema(
     [("ord", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
 )
 _RESULT_SCHEMA = pa.schema(
-    [("ord", pa.int64()), ("part", pa.int64()), ("n_removed", pa.int64()),
-     ("kept_sha256", pa.string()), ("kept_text", pa.string())]
-)
+    [("ord", pa.int64()), ("part", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -250,49 +251,70 @@ def _trees(min_words: int):
     return run
 
 
+def without_runs(text: bytes, runs: list[dict], min_words: int) -> tuple[list[bytes], int]:
+    """The words that no window of a run covers, and the number of the others."""
+    words = text.split()
+    change = np.zeros(len(words) + 1, np.int64)
+    for run in runs:
+        change[run["start"]] += 1
+        change[run["start"] + run["n"] + min_words - 1] -= 1
+    keep = np.cumsum(change[:-1]) == 0
+    return [w for w, k in zip(words, keep.tolist(), strict=True) if k], int((~keep).sum())
+
+
 def _remove(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            ranks = batch.column(0).to_pylist()
-            for rank, text, runs in zip(ranks, batch.column(1), batch.column(2), strict=True):
-                words = text.as_py().split()
-                part = text_part(words)
-                change = np.zeros(len(words) + 1, np.int64)
-                for run in runs.as_py():
-                    if run["part"] == part:
-                        change[run["start"]] += 1
-                        change[run["start"] + run["n"] + min_words - 1] -= 1
-                keep = np.cumsum(change[:-1]) == 0
-                kept = b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
-                removed = len(words) - int(keep.sum())
-                sha = hashlib.sha256(kept).hexdigest()
-                out.append((rank, part, removed, sha, kept.decode()))
+            ids = (batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for rank, part, text, runs in zip(*ids, batch.column(2), batch.column(3), strict=True):
+                kept, removed = without_runs(text.as_py(), runs.as_py(), min_words)
+                out.append((rank, part, removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield _batch(out, _RESULT_SCHEMA)
 
     return run
 
 
-def substring_dedup(
-    docs: DataFrame,
-    min_words: int = MIN_WORDS,
-    group_suffixes: int = GROUP_SUFFIXES,
-    with_text: bool = False,
-) -> DataFrame:
-    """One row per input row: words, removed words and digest of what is kept.
+def _replace(columns: list[str], min_words: int):
+    """Rows of all columns and the runs (NULL: none): text and n_chars of what is kept."""
+    text_at = columns.index("text")
+    chars_at = columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(batch.columns[: len(columns)])
+            texts = made[text_at].to_pylist()
+            chars = None if chars_at is None else made[chars_at].to_pylist()
+            for i, runs in enumerate(batch.columns[-1]):
+                if runs.is_valid:
+                    kept, _ = without_runs(texts[i].encode(), runs.as_py(), min_words)
+                    texts[i] = b" ".join(kept).decode()
+                    if chars is not None:
+                        chars[i] = len(texts[i])
+            made[text_at] = pa.array(texts, made[text_at].type)
+            if chars is not None:
+                made[chars_at] = pa.array(chars, made[chars_at].type)
+            yield pa.RecordBatch.from_arrays(made, columns)
+
+    return run
 
-    A word goes if a window of ``min_words`` words that covers it also starts in a row with a
-    smaller id, judged on the input. NULL and empty texts have no words. A NULL id ranks after
-    all others; rows with one id never remove words from each other, and repeated rows get equal
-    results. Texts are read whole; other columns of ``docs`` are not read. With ``with_text``
-    the kept words follow as ``kept_text`` where words were removed (NULL: nothing was), and the
-    digest of all words.
+
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells rows apart: the rank of the id, and a hash of the text for rows that share it."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return order_of(F.col("doc_id")), F.xxhash64(text)
+
+
+def _search(docs: DataFrame, min_words: int, group_suffixes: int) -> tuple[DataFrame, DataFrame]:
+    """(a row per input row with its counts, the runs of windows to remove per text).
 
     A text whose words all equal those of a row with a smaller id goes without a search.
     """
+    rank, part = _keyed(docs)
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        order_of(F.col("doc_id")).alias("ord"),
+        rank.alias("ord"),
+        part.alias("part"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
     light = staged(rows.mapInArrow(_summarise, SUMMARY), "summary")
@@ -300,26 +322,26 @@ def substring_dedup(
     whole_copy = (F.col("ord") > F.col("first")) & (F.col("n_words") >= min_words)
     light = light.join(firsts, "text_key").withColumn("copy", whole_copy)
 
-    text_of = rows.select("ord", "text")
+    text_of = rows.select("ord", "part", "text")
     anchors = text_of.mapInArrow(_anchors(min_words), ANCHORS)
     shared = staged(
         anchors.groupBy("anchor")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("n"))
+        .agg(F.min("words_key").alias("low"), F.max("words_key").alias("high"), F.sum("n").alias("n"))
         .filter("low < high")
         .select("anchor", (F.col("n") > group_suffixes).alias("large")),
         "shared_anchors",
     )
-    searched = light.filter((F.col("n_words") >= min_words) & ~F.col("copy")).select("ord").distinct()
+    searched = light.filter((F.col("n_words") >= min_words) & ~F.col("copy")).select("ord", "part").distinct()
 
     def suffixes(large: bool) -> DataFrame:
         wanted = (
-            anchors.select("ord", "anchor")
+            anchors.select("ord", "part", "anchor")
             .join(shared.filter(F.col("large") == large), "anchor")
-            .groupBy("ord")
+            .groupBy("ord", "part")
             .agg(F.collect_set("anchor").alias("wanted"))
-            .join(searched, "ord", "left_semi")
+            .join(searched, ["ord", "part"], "left_semi")
         )
-        found = text_of.join(wanted, "ord").select("ord", "text", "wanted")
+        found = text_of.join(wanted, ["ord", "part"]).select("ord", "part", "text", "wanted")
         return found.mapInArrow(_segments(min_words, large), SEGMENTS)
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -338,45 +360,58 @@ def substring_dedup(
             .filter(F.col("ord") > F.col("lowest"))
             .select("ord", "part", "start", F.lit(1).alias("n"))
         )
-    per_text = runs.groupBy("ord").agg(F.collect_list(F.struct("part", "start", "n")).alias("runs"))
+    per_text = runs.groupBy("ord", "part").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return light, per_text
+
+
+def substring_dedup(
+    docs: DataFrame, min_words: int = MIN_WORDS, group_suffixes: int = GROUP_SUFFIXES
+) -> DataFrame:
+    """One row per input row: words, removed words and digest of what is kept.
+
+    A word goes if a window of ``min_words`` words that covers it also starts in a row with a
+    smaller id, judged on the input. NULL and empty texts have no words. A NULL id ranks after
+    all others; rows with one id never remove words from each other, and repeated rows get equal
+    results. Texts are read whole; other columns of ``docs`` are not read.
+    """
+    light, per_text = _search(docs, min_words, group_suffixes)
+    rank, part = _keyed(docs)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     changed = (
-        text_of.join(per_text, "ord")
-        .select("ord", "text", "runs")
+        docs.select(rank.alias("ord"), part.alias("part"), text.alias("text"))
+        .join(per_text, ["ord", "part"])
+        .select("ord", "part", "text", "runs")
         .mapInArrow(_remove(min_words), RESULT)
+        .dropDuplicates(["ord", "part"])
     )
-    if not with_text:
-        changed = changed.drop("kept_text")
-    changed = changed.dropDuplicates(["ord", "part"])
-    result = null_safe(light, changed, ["ord", "part"], "left")
+    result = light.join(changed, ["ord", "part"], "left")
     n_removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.col("n_removed"))
     kept = F.when(F.col("copy"), EMPTY_SHA).otherwise(F.col("kept_sha256"))
-    columns = [
+    return result.select(
         F.col("doc_id"),
         F.col("n_words"),
         F.coalesce(n_removed, F.lit(0)).alias("n_removed"),
         F.coalesce(kept, F.col("sha")).alias("kept_sha256"),
-    ]
-    if with_text:
-        columns.append(F.when(F.col("copy"), "").otherwise(F.col("kept_text")).alias("kept_text"))
-        columns.append(F.col("sha").alias("words_sha256"))
-    return result.select(*columns)
+    )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns; ``text`` (and ``n_chars``, if there) without repeated passages.
 
     Texts that lose nothing stay as they are, others become their kept words with single spaces.
+    Columns may have any names.
     """
-    found = substring_dedup(docs, with_text=True).filter("kept_text IS NOT NULL")
-    found = found.select("doc_id", F.col("words_sha256").alias("__words"), F.col("kept_text").alias("__kept"))
-    words = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), f"{SPACE_CLASS}+", " ")
-    keyed = docs.withColumn("__words", F.sha2(F.trim(words), 256))
-    joined = null_safe(keyed, found.dropDuplicates(["doc_id", "__words"]), ["doc_id", "__words"], "left")
-    new = {"text": F.coalesce("__kept", "text")}
-    if "n_chars" in docs.columns:
-        length = F.char_length("__kept").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.coalesce(length, F.col("n_chars"))
-    return joined.withColumns(new).select(*docs.columns)
+    light, per_text = _search(docs, min_words, GROUP_SUFFIXES)
+    every = F.array(F.struct(F.lit(0).alias("start"), (F.col("n_words") - min_words + 1).cast("int").alias("n")))
+    copies = light.filter("copy").select("ord", "part", every.alias("runs")).dropDuplicates(["ord", "part"])
+    runs = per_text.unionByName(copies)
+    names = dict(zip(runs.columns, unused(docs, *runs.columns), strict=True))
+    rank, part = _keyed(docs)
+    keyed = docs.withColumns({names["ord"]: rank, names["part"]: part})
+    joined = keyed.join(runs.withColumnsRenamed(names), [names["ord"], names["part"]], "left")
+    return joined.select(*docs.columns, names["runs"]).mapInArrow(
+        _replace(docs.columns, min_words), docs.schema
+    )
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -17,33 +18,50 @@ class WordEncoder:
     """Encodes texts with the ``tokenizers`` library, each distinct word once.
 
     The vocabulary splits at white space, and between a letter or digit and a mark, before it
-    merges, so the ids of a text are those of its words and end marks in a row. A bounded memo
-    saves most of the work: natural text repeats its words. ``memo_words`` bounds the memory
-    (about 200 bytes a word), not the result.
+    merges, so the ids of a text are those of its words and end marks in a row. Strings of the
+    vocabulary's own tokens (``<|endoftext|>``) become their ids wherever they stand, as the
+    library does it; the text between them is encoded on its own. A bounded memo saves most of
+    the work: natural text repeats its words. ``memo_bytes`` bounds the memory, not the result.
     """
 
-    def __init__(self, path: str, memo_words: int = 1_000_000):
+    def __init__(self, path: str, memo_bytes: int = 200_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self._tokenizer.encode_special_tokens = True  # they are cut out of the text beforehand
         self._lowers = '"type":"Lowercase"' in self._tokenizer.to_str()
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self._tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("only tokens that stand for their own string are supported")
+        self._added = {
+            t.content.encode(): np.array([i], self.dtype).tobytes() for i, t in added.items()
+        }
+        longest_first = sorted(self._added, key=len, reverse=True)
+        self._cut = re.compile(b"(%s)" % b"|".join(map(re.escape, longest_first))) if added else None
         self._memo: dict[bytes, bytes] = {}
-        self._memo_words = memo_words
+        self._memo_bytes, self._held = memo_bytes, 0
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Ids of a whole UTF-8 text; none for NULL."""
         text = text or b""
+        if self._cut is None or not self._cut.search(text):
+            return np.frombuffer(self._ids(text), self.dtype)
+        between = self._cut.split(text)
+        ids = [self._added[p] if i % 2 else self._ids(p) for i, p in enumerate(between)]
+        return np.frombuffer(b"".join(ids), self.dtype)
+
+    def _ids(self, text: bytes) -> bytes:
         words = (text.lower() if self._lowers else text).split()  # both for ASCII only
         memo = self._memo
-        if len(memo) > self._memo_words:
+        if self._held > self._memo_bytes:
             memo.clear()
+            self._held = 0
         new = [w for w in dict.fromkeys(words) if w not in memo]
         if new:
             self._learn(new)
-        return np.frombuffer(b"".join(map(memo.__getitem__, words)), self.dtype)
+        return b"".join(map(memo.__getitem__, words))
 
     def _learn(self, words: list[bytes]) -> None:
         memo = self._memo
@@ -53,10 +71,14 @@ class WordEncoder:
             [p.decode() for p in unknown], add_special_tokens=False
         )
         for part, encoding in zip(unknown, found, strict=True):
-            memo[part] = np.array(encoding.ids, self.dtype).tobytes()
+            self._keep(part, np.array(encoding.ids, self.dtype).tobytes())
         for word, pieces in parts.items():
             if len(pieces) > 1:
-                memo[word] = memo[pieces[0]] + memo[pieces[1]]
+                self._keep(word, memo[pieces[0]] + memo[pieces[1]])
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self._memo[word] = ids
+        self._held += len(word) + len(ids) + 150  # two objects and their place in the table
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:

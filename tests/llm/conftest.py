@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 from stridelog.llm.shipping import ship
 
 #: The columns of documents, then some whose names operators use inside.
-NAMES = ("row", "part", "path", "node", "digest", "n", "length", "words", "anchor", "bucket")
+NAMES = (
+    "row", "part", "path", "node", "digest", "n", "length", "words", "anchor", "bucket",
+    "__sha", "__copy", "__words", "__kept", "sha", "copy", "kept", "other_doc_id", "__doc_id", "runs",
+)
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -129,12 +130,12 @@ def test_chains_and_groups_larger_than_a_node(llm, monkeypatch):
 
 @pytest.mark.parametrize("depth", [4, 6, 8])
 def test_pairs_at_the_threshold_meet_in_deep_nodes(depth):
-    pairs = 2000
+    pairs = 4000 if depth < 6 else 600
     rng = np.random.default_rng(depth)
     one, leader = rng.integers(0, 1 << 32, (2, pairs, 64))
     two = np.where(rng.random(one.shape) < 0.81, one, rng.integers(0, 1 << 32, one.shape))
     left, right, leader = (x.astype("<u4") for x in (one, two, leader))
-    names = ["path", "node", "leader", "signature", "led_by"]
+    names = ["path", "node", "leaders", "signature", "sketches"]
     pair = np.concatenate([np.arange(pairs), np.arange(pairs)])
     signatures = np.concatenate([left, right])
 
@@ -148,8 +149,8 @@ def test_pairs_at_the_threshold_meet_in_deep_nodes(depth):
         nodes = np.concatenate([level[:, 1], level[:, 1] + pairs])
         bytes_of = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array(paths), pa.array(nodes), pa.array(np.full(len(nodes), -1)),
-             bytes_of(signatures[nodes]), bytes_of(leader[pair[nodes]])],
+            [pa.array(paths), pa.array(nodes), pa.array([[-1]] * len(nodes), pa.list_(pa.int64())),
+             bytes_of(signatures[nodes]), bytes_of(leader[pair[nodes]].astype(np.uint8))],
             names,
         )
 
@@ -162,7 +163,7 @@ def test_pairs_at_the_threshold_meet_in_deep_nodes(depth):
         paths, nodes = (np.concatenate([b.column(i).to_numpy() for b in out]) for i in (0, 1))
         level = together(paths, nodes)
         if d < depth:
-            out = list(near_dedup._beside_leader([batch(level)]))
+            out = list(near_dedup._beside_leaders([batch(level)]))
     lost = pairs - len(np.unique(level[:, 1]))
     assert lost <= pairs / 1000
 
@@ -171,6 +172,32 @@ def test_trees_follow_from_the_target():
     assert near_dedup.missed(near_dedup.TREES) <= near_dedup.MISSED < near_dedup.missed(near_dedup.TREES - 1)
 
 
+def hot_group(n: int, changed: float, seed: int) -> list[tuple[int, str]]:
+    """Texts made from one: most pairs are somewhat below the threshold, some reach it."""
+    rng = random.Random(seed)
+    base = prose(seed, 120, 10**6).split()
+    return [
+        (i, " ".join(f"x{rng.random()}" if rng.random() < changed else w for w in base))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("changed", [0.02, 0.035, 0.06])
+def test_a_hot_group_loses_no_link_and_does_not_multiply(llm, monkeypatch, changed):
+    """All of the search, absorption and deepest nodes included, on pairs around the threshold."""
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 16)
+    rows = hot_group(250, changed, 3)
+    made = []
+    keep = near_dedup.staged
+    monkeypatch.setattr(
+        near_dedup, "staged", lambda df, name: (made.append((name, out := keep(df, name))), out)[1]
+    )
+    assert got_components(near_components(table(llm, rows))) == brute_components(rows)
+    if changed < 0.05:
+        levels = [df.count() for name, df in made if name == "compared"]
+        assert max(levels) <= 8 * near_dedup.TREES * len(rows)
+
+
 def test_groups_too_large_for_a_task(llm):
     rows = chain(12)
     got = near_components(table(llm, rows), group_shingles=600)

@@ -43,7 +43,6 @@ def library():
 @pytest.fixture(scope="module")
 def words():
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -100,7 +99,7 @@ def test_bpe_rows(docs, empty, library):
 
 
 def test_word_encoder_equals_the_library(words):
-    small = WordEncoder(WORDS, memo_words=20)
+    small = WordEncoder(WORDS, memo_bytes=4_000)
     for text in [*strings(3000, 2), *(t for _, t in awkward())]:
         assert small.encode((text or "").encode()).tolist() == words(text)
 
@@ -215,3 +214,19 @@ def test_packing_equals_brute_force(docs, empty, words):
             at += length
         assert at <= size
     assert best_fit_packing(empty, WORDS, 1).count() == 0
+
+
+def test_words_encode_as_the_library_does_with_its_own_tokens():
+    from tokenizers import Tokenizer
+
+    from stridelog.llm.vocabulary import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), WordEncoder(path, memo_bytes=2_000)
+    rng = random.Random(4)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " ", "a", "É", "end.", "\n", "İ", "<"]
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        expected = tokenizer.encode(text, add_special_tokens=False).ids
+        assert words.encode(text.encode()).tolist() == expected, text
+    assert words._held < 4_000
