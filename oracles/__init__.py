@@ -15,7 +15,12 @@ from .base import with_inputs
 _WORKFLOWS = ("top_events_by_domain", "mau_by_domain", "derived_sessions")
 _MAINTAINED = ("mau_by_domain", "customer_health_scorecard")
 #: Reports from the stored state; the statements know no state.
-_STORED = ("user_domains", "derived_sessions") + tuple(
+_STORED = (
+    "user_domains",
+    "derived_sessions",
+    "customer_health_scorecard",
+    "multi_customer_comparison",
+) + tuple(
     f"{name}{suffix}"
     for name in ("dau_by_domain", "wau_by_domain", "mau_by_domain", "mau_dau_ratio")
     for suffix in ("", "_all")

@@ -112,6 +112,10 @@ SQL = {
         FROM tr t LEFT JOIN one o ON o.id = t.user_id
         WHERE t.name LIKE 'discovery%' GROUP BY ALL
     """,
+    "model_tracks_of_march": """
+        SELECT name AS event_text, count(*) AS event_count FROM tr
+        WHERE ts >= TIMESTAMP '2024-03-01' AND ts < TIMESTAMP '2024-04-01' GROUP BY ALL
+    """,
     "model_tracks_dates": """
         SELECT NULL::DATE AS date_derived, NULL::TIMESTAMP AS received_at, count(*) AS event_count
         FROM tr

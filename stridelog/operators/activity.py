@@ -19,6 +19,7 @@ from ..functions.text import like_prefix
 from ..params import Params
 from ..sources.tables import Tables
 from .domains import domains_of
+from .skew import spread_lookup
 
 # --- Fixed values: event names that carry no user intent. ----------------------------------
 NOISE_EVENTS = (
@@ -76,11 +77,11 @@ def track_rows(
 def activity_events(t: Tables, p: Params) -> DataFrame:
     """Unified event log, one row per page view or kept event.
 
-    Page views carry their own domain, events that of their user (NULL if unknown). The
-    lookup has one row per user, so adaptive execution can split a hot user's events over
-    several tasks; nothing downstream fixes the partitioning.
+    Page views carry their own domain, events that of their user (NULL if unknown). The events
+    of users who own a large share of them are dealt out evenly.
     """
-    tracks = track_rows(t, p, p.start).join(domains_of(t), "user_id", "left")
+    events = track_rows(t, p, p.start)
+    tracks = spread_lookup(events, domains_of(t), "user_id", F.struct("ts", "name"))
     rows = tracks.unionByName(page_rows(t, p.start))
     ts = F.col("ts")
     return rows.select(

@@ -112,14 +112,18 @@ def customer_health_scorecard(t: Tables, p: Params) -> DataFrame:
         .agg(F.sum("mau").alias("mau_sum"), F.count("event_month").alias("months"))
         .filter(F.col("months") > 0)
     )
+    return scorecard(account_months(t, p, months), average, p)
+
+
+def scorecard(accounts: DataFrame, average: DataFrame, p: Params) -> DataFrame:
+    """The score from ``account_months`` and (domain, mau_sum, months)."""
     curr, prev, members = F.col("curr"), F.col("prev"), F.col("members")
     features, kept = F.col("features"), F.col("kept")
     elapsed = max(p.as_of.day - 1, 1)
     million = 10**6
     mean_mau = half_up(F.col("mau_sum") * million, F.col("months"))
     return (
-        account_months(t, p, months)
-        .join(average, "domain")
+        accounts.join(average, "domain")
         .select(
             "domain",
             members.alias("total_user_count"),

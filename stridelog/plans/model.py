@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ def query(
     where: Column | str | None = None,
     measures: Sequence[str] | None = None,
     where_user: Column | str | None = None,
+    start: datetime | None = None,
+    end: datetime | None = None,
 ) -> DataFrame:
     """``measures`` of the rows of ``table`` by ``dimensions``.
 
@@ -41,7 +44,9 @@ def query(
     one row per user (the greatest value of each attribute) and events are counted per user
     before it. ``where`` filters on columns of the table itself, before anything is counted;
     ``where_user`` on attributes of that one row per user, by their plain names; an event without
-    a known user has none and meets only conditions that hold for NULL. Without dimensions the
+    a known user has none and meets only conditions that hold for NULL. ``start`` and ``end``
+    bound the timestamps of events (half-open); unlike a condition on the timestamp in ``where``
+    they also leave out the day partitions outside them, if the table has such. Without dimensions the
     result is one row, without measures the distinct dimensions. The default is all measures of
     the table.
     """
@@ -59,7 +64,10 @@ def query(
     if set(wanted) - set(MEASURES[table]):
         raise ValueError(f"unknown measures of {table}: {sorted(set(wanted) - set(MEASURES[table]))}")
 
-    rows = getattr(t, table)
+    if table == "users" and (start is not None or end is not None):
+        raise ValueError("start and end are for tables of events")
+    between = {"pages": t.pages_between, "tracks": t.tracks_between}
+    rows = between[table](start, end) if table in between else t.users
     if where is not None:
         rows = rows.filter(where)
     out = [d if d in own else f"users_{d.removeprefix('users.')}" for d in dimensions]

@@ -70,7 +70,8 @@ def discover_events(
 def discover_pages(t: Tables, p: Params) -> DataFrame:
     """Page names of the last three months.
 
-    The two distinct counts expand every row; they run on (page, user, domain) groups.
+    Users and domains are counted separately over the (page, user, domain) groups, so no group is
+    repeated for a second distinct count; the joined results have one row per page.
     """
     groups = (
         t.pages_between(p.months_ago(_CATALOG_MONTHS))
@@ -82,15 +83,39 @@ def discover_pages(t: Tables, p: Params) -> DataFrame:
             F.max(_utc_day()).alias("last_day"),
         )
     )
-    return (
-        groups.groupBy("page_name")
+    ranges = (
+        F.sum("n").alias("n"),
+        F.min("first_day").alias("first_day"),
+        F.max("last_day").alias("last_day"),
+    )
+    users = (
+        groups.groupBy("page_name", "user_id")
+        .agg(*ranges)
+        .groupBy("page_name")
         .agg(
             F.sum("n").alias("total_views"),
-            F.count_distinct("user_id").alias("unique_users"),
-            F.count_distinct("domain").alias("domains_using"),
+            F.count("user_id").alias("unique_users"),
             F.min("first_day").alias("first_seen"),
             F.max("last_day").alias("last_seen"),
         )
+    )
+    domains = (
+        groups.groupBy("page_name", "domain")
+        .agg(*ranges)
+        .filter(_plausible("n", [], "first_day", "last_day"))
+        .groupBy("page_name")
+        .agg(F.count("domain").alias("domains_using"))
+    )
+    return (
+        users.join(domains, "page_name")
+        .select(
+            "page_name",
+            "total_views",
+            "unique_users",
+            "domains_using",
+            "first_seen",
+            "last_seen",
+        )
         .orderBy(F.desc("total_views"), "page_name")
     )
 
@@ -123,8 +148,9 @@ def profile_pages(t: Tables, p: Params) -> DataFrame:
 def _profile_events(
     events: DataFrame, label: str, filled: dict[str, str], distinct: dict[str, str]
 ) -> DataFrame:
-    """One summary row. Three distinct counts would expand every event four times, so the
-    events are first collapsed to their (user, day, name) combinations."""
+    """One summary row. The events are collapsed to their (user, day, name) combinations; users,
+    days and names are then counted separately over these, so no row is repeated for a second
+    distinct count, and the one-row results are put side by side."""
     named = list(distinct.values())
     groups = events.groupBy("user_id", _utc_day().alias("day"), *named).agg(
         _n_rows().alias("n"),
@@ -133,18 +159,57 @@ def _profile_events(
         *[F.count(column).alias(alias) for alias, column in filled.items()],
     )
     total = [_total(alias).alias(alias) for alias in filled]
-    return groups.agg(
-        F.lit(label).alias("table_name"),
-        _total("n").alias("total_rows"),
-        F.count_distinct("user_id").alias("distinct_users"),
-        F.min("first_ts").alias("earliest_event"),
-        F.max("last_ts").alias("latest_event"),
-        F.count_distinct("day").alias("days_with_data"),
-        *total,
-        *[F.count_distinct(column).alias(alias) for alias, column in distinct.items()],
+    measures = ["n", *filled]
+    users = (
+        groups.groupBy("user_id")
+        .agg(
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            *[F.sum(c).alias(c) for c in measures],
+        )
+        .agg(
+            F.lit(label).alias("table_name"),
+            _total("n").alias("total_rows"),
+            F.count("user_id").alias("distinct_users"),
+            F.min("first_ts").alias("earliest_event"),
+            F.max("last_ts").alias("latest_event"),
+            *total,
+        )
+    )
+    sets = {"days_with_data": "day", **distinct}
+    for alias, column in sets.items():
+        values = groups.groupBy(column).agg(
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            *[F.sum(c).alias(c) for c in measures],
+        )
+        values = values.filter(_plausible("n", list(filled), "first_ts", "last_ts"))
+        users = users.join(F.broadcast(values.agg(F.count(column).alias(alias))))
+    return users.select(
+        "table_name",
+        "total_rows",
+        "distinct_users",
+        "earliest_event",
+        "latest_event",
+        "days_with_data",
+        *filled,
+        *distinct,
     )
 
 
+def _plausible(n: str, counts: list[str], first: str, last: str) -> Column:
+    """True for every group.
+
+    It reads all columns of the collapsed rows, so that each count works on the same ones: else
+    the optimizer drops those that a count does not need, and the rows are scanned and collapsed
+    anew for every count instead of once.
+    """
+    fits = (F.col(n) >= 1) & F.coalesce(F.col(first) <= F.col(last), F.lit(True))
+    for count in counts:
+        fits &= F.col(count) <= F.col(n)
+    return fits
+
+
 def _total(column: str) -> Column:
     """Sum of partial counts; 0, not NULL, over no rows, as a count would give."""
     return F.coalesce(F.sum(column), F.lit(0).cast("bigint"))

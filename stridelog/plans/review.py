@@ -109,11 +109,15 @@ def multi_customer_comparison(t: Tables, p: Params) -> DataFrame:
 
     Stickiness is user-days over users times the days of the whole month.
     """
+    return comparison(account_months(t, p, user_months(t, p, first=-1, last=0)), p)
+
+
+def comparison(accounts: DataFrame, p: Params) -> DataFrame:
+    """The comparison from ``account_months``."""
     curr, prev = F.col("curr"), F.col("prev")
     possible = F.greatest(curr, F.lit(1)) * p.days_in_month
     return (
-        account_months(t, p, user_months(t, p, first=-1, last=0))
-        .select(
+        accounts.select(
             "domain",
             F.col("members").alias("total_users"),
             curr.alias("current_mau"),

@@ -6,6 +6,7 @@ One load takes in whole UTC days and publishes, together:
 ``numbers``   a number for every user, never changed once given; a load adds its new users
 ``homes``     per domain, the set of users attributed to it, replaced by every load
 ``active``    per day and kind of event, the set of active users; a load adds its days
+``areas``     per day and feature area of the health score, the set of users who viewed its pages
 ``sessions``  the sessions that are over; a load adds those that ended. The last session of every
               user may go on; these are replaced by every load
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.localtime import local_date
+from ..functions.taxonomy import HEALTH
 from ..functions.text import like_prefix
 from ..operators.activity import WORKFLOW_PATTERN, drop_noise
 from ..operators.bitmaps import NUMBER, user_sets
@@ -52,6 +54,7 @@ SCHEMAS = {
     "active": _struct(
         kind=_TEXT, domain=_TEXT, event_date=T.DateType(), **_SET, utc_day=T.DateType()
     ),
+    "areas": _struct(area=_TEXT, **_SET, utc_day=T.DateType()),
     "sessions": _struct(
         user_id=_TEXT,
         session_id=_LONG,
@@ -70,6 +73,7 @@ class Stored:
     domains: DataFrame
     homes: DataFrame
     active: DataFrame
+    areas: DataFrame
     sessions: DataFrame | None
     tz: str
     through: date
@@ -93,7 +97,8 @@ class UsageState:
             over = read("sessions").filter(~F.col("last"))
             sessions = over.unionByName(self._last_sessions(base)).drop("last")
         through = date.fromisoformat(base.settings["through"])
-        return Stored(read("domains"), read("homes"), read("active"), sessions, self.tz, through)
+        homes, active, areas = read("homes"), read("active"), read("areas")
+        return Stored(read("domains"), homes, active, areas, sessions, self.tz, through)
 
     def update(self, t: Tables, through: date, again: Iterable[date] = ()) -> Generation:
         """Take in the UTC days that follow the last load, up to ``through``; publish the result.
@@ -130,14 +135,18 @@ class UsageState:
             self.store.read("domains", base), _viewed(pages).unionByName(_viewed(undated))
         )
         domains = self._replaced(loads, "domains", load, lookup)
-        numbers = self._added(loads, "numbers", load, self._new_users(base, pages, tracks, domains))
-        homes = domains.join(numbers, "user_id")
+        seen = pages.select("user_id").unionByName(tracks.select("user_id"))
+        seen = seen.unionByName(undated.select("user_id"))
+        numbers = self._added(loads, "numbers", load, self._new_users(base, seen, domains))
+        homes = domains.join(numbers, "user_id", "left")
         self._replaced(loads, "homes", load, user_sets(homes, "domain"))
         days = user_sets(
             self._days(pages, tracks).join(numbers, "user_id", "left"),
             *("kind", "domain", "utc_day", "event_date"),
         ).hint("rebalance", F.col("utc_day"))
         self._added(loads, "active", load, days, "utc_day")
+        areas = user_sets(_areas(pages).join(numbers, "user_id"), "area", "utc_day")
+        self._added(loads, "areas", load, areas.hint("rebalance", F.col("utc_day")), "utc_day")
         settings = {**base.settings, "tz": self.tz}
         if late:
             settings["late_days"] = ",".join(map(str, late))
@@ -160,15 +169,13 @@ class UsageState:
         loads[table].append(load)
         return self.store.read(table, Generation(loads=loads))
 
-    def _new_users(
-        self, base: Generation, pages: DataFrame, tracks: DataFrame, domains: DataFrame
-    ) -> DataFrame:
+    def _new_users(self, base: Generation, seen: DataFrame, domains: DataFrame) -> DataFrame:
         """Users without a number, numbered domain by domain above all numbers given so far."""
         known = self.store.read("numbers", base)
         given = known.agg(F.coalesce(F.max(NUMBER), F.lit(-1))).first()[0]
-        users = pages.select("user_id").unionByName(tracks.select("user_id")).distinct()
         return (
-            users.join(known, "user_id", "left_anti")
+            seen.distinct()
+            .join(known, "user_id", "left_anti")
             .filter(F.col("user_id").isNotNull())
             .join(domains, "user_id", "left")
             .orderBy("domain", "user_id")
@@ -203,6 +210,19 @@ class UsageState:
         return continue_sessions(self._last_sessions(base), slots).withColumn("last", last)
 
 
+def _areas(pages: DataFrame) -> DataFrame:
+    """(user_id, area, utc_day), every combination once; a page may belong to several areas."""
+    name = F.col("name")
+    of_page = F.array_compact(
+        F.array(*[F.when(rule.matches(name), F.lit(rule.label)) for rule in HEALTH.pages])
+    )
+    return (
+        pages.filter(name.isNotNull() & F.col("user_id").isNotNull())
+        .select("user_id", F.explode(of_page).alias("area"), F.to_date("timestamp").alias("utc_day"))
+        .distinct()
+    )
+
+
 def _viewed(pages: DataFrame) -> DataFrame:
     return pages.select("user_id", "domain")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stridelog.operators import activity, domains, sessions, users
 from stridelog.operators.keyfilter import possible_keys
+from stridelog.operators.skew import spread_lookup
 from stridelog.plans import model
 from stridelog.plans.catalog import REPORTS
 from stridelog.sources import layout
@@ -257,3 +258,40 @@ def test_possible_keys_keep_every_key_and_few_others(spark):
     assert {"5", "77"} <= got and len(got) < 10 and None not in got
     assert possible_keys(rows, wanted, "k").columns == ["k", "id"]
     assert possible_keys(rows, wanted.limit(0), "k").isEmpty()
+
+
+@pytest.mark.parametrize("hot", ["u7", None])
+def test_a_hot_user_is_spread_over_the_tasks(spark, hot):
+    n = 12_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(hot)).otherwise(F.concat(F.lit("u"), F.col("id") % 2000))
+    rows = spark.range(n).select(key.alias("user_id"), "id")
+    lookup = spark.range(0, 2000, 2).select(
+        F.concat(F.lit("u"), "id").alias("user_id"), F.col("id").alias("home")
+    ).unionByName(spark.createDataFrame([("u7", 7)], "user_id string, home bigint"))
+    settings = {
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = spread_lookup(rows, lookup, "user_id", F.col("id"))
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    homes = {f"u{i}": i for i in range(0, 2000, 2)} | {"u7": 7}
+    assert len(got) == n and all(r["home"] == homes.get(r["user_id"]) for r in got)
+    sizes = sorted(len([r for r in got if r["task"] == task]) for task in range(16))
+    assert sizes[-1] < 3 * sizes[8]
+
+
+def test_activity_events_of_a_hot_user(make):
+    tracks = [track("hot", f"2024-02-01 00:{i // 60:02}:{i % 60:02}") for i in range(900)]
+    tracks += [track(f"u{i}", "2024-02-02 00:00") for i in range(50)] + [track(None, "2024-02-02")] * 60
+    t = make(pages=[page("hot", "2024-01-02", "a.example"), page("u1", "2024-01-02", "b.example")], tracks=tracks)
+    found = rows(activity.activity_events(t, params()).groupBy("user_id", "domain", "source").count())
+    assert ("hot", "a.example", "track", 900) in found and (None, None, "track", 60) in found
+    assert ("u1", "b.example", "track", 1) in found and ("u2", None, "track", 1) in found

@@ -128,9 +128,10 @@ def test_plans_scale(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan
     assert "Python" not in plan
-    # Cross joins only with the one-row aggregates of these two reports.
+    # Cross joins only with the one-row aggregates of these reports.
     nested = plan.count("BroadcastNestedLoopJoin")
-    assert nested <= (2 if name in ("engagement_tiers", "power_users") else 0)
+    one_row = ("engagement_tiers", "power_users", "profile_tracks", "profile_pages")
+    assert nested <= (2 if name in one_row else 0)
     # A single partition only ever receives the partial results of a global aggregate.
     for before in re.findall(r"Exchange SinglePartition.*\n(.*)", plan):
         assert "partial_" in before or "HashAggregate(keys=[]" in before
@@ -154,6 +155,12 @@ def test_no_row_is_sorted_before_it_is_collapsed(spark):
     assert "HashAggregate(" in partial.split("FileScan")[0]
 
 
+@pytest.mark.parametrize("name", ["discover_pages", "profile_tracks", "profile_pages"])
+def test_distinct_counts_repeat_no_row(spark, name):
+    plan = _plan(spark, name)
+    assert "Expand" not in plan and plan.count("FileScan") == 1
+
+
 def test_only_new_users_are_rolled_up(spark):
     """The funnel's filter by key lies below the roll-up of events, and is of fixed size."""
     plan = _plan(spark, "activation_funnel")

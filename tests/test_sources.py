@@ -232,3 +232,22 @@ def test_reports_prune_day_partitions(spark, tmp_path):
         plan = report._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(event_day" in plan
         assert ORDERED(report) == ORDERED(REPORTS[name](t, recent))
+
+
+def test_bounds_of_the_model_prune_days(spark, tmp_path):
+    source = fixture_tables(spark, SF_DIR)
+    for name in ("pages", "tracks"):
+        layout.write_events(getattr(source, name), f"{tmp_path}/{name}")
+    source.users.write.parquet(f"{tmp_path}/users")
+    t = Tables.from_parquet(spark, str(tmp_path), day_column=layout.DAY_COLUMN)
+    bounds = {"start": ts("2024-03-01 12:00"), "end": ts("2024-03-09")}
+    found = model.query(t, "pages", ["domain", "users.role"], **bounds)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    (line,) = [x for x in plan.splitlines() if "event_day" in x and "PartitionFilters" in x]
+    assert "2024-03-01" in line.split("PartitionFilters")[1].split("]")[0]
+    where = (F.col("timestamp") >= F.lit(bounds["start"]).cast("timestamp_ntz")) & (
+        F.col("timestamp") < F.lit(bounds["end"]).cast("timestamp_ntz")
+    )
+    assert ORDERED(found) == ORDERED(model.query(source, "pages", ["domain", "users.role"], where))
+    with pytest.raises(ValueError, match="tables of events"):
+        model.query(t, "users", ["role"], **bounds)
