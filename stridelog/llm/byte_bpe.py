@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,6 +29,7 @@ from .common import documents, texts
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 Hypothesis = tuple[int, int, tuple[int, ...]]
+State = tuple[Hypothesis, ...]
 ROOT, NONE = 0, -1
 
 
@@ -37,7 +39,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes one pre-split piece at a time; ``max_states`` bounds the memory only."""
+    """Encodes one pre-split piece at a time; ``max_states`` bounds the memory only.
+
+    When that many states are known, further ones are walked through without being kept; after
+    ``PASSING`` times as many such moves the known ones are dropped, in case the text has changed.
+    """
+
+    PASSING = 20
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self._ranks = ranks
@@ -61,36 +69,47 @@ class Transducer:
         whole = self._ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self._states) > self._max_states:
+        if self._passing > self.PASSING * self._max_states:
             self._reset()
         out: list[int] = []
         state, moves = 0, self._moves
         for byte in piece:
-            move = moves[state].get(byte)
-            if move is None:
+            if type(state) is int:
+                move = moves[state].get(byte)
+                if move is None:
+                    move = self._move(self._states[state], byte)
+                    if type(move[0]) is int:
+                        moves[state][byte] = move
+            else:
                 move = self._move(state, byte)
             state, emitted = move
             if emitted:
                 out += emitted
-        return out + self._rest(state)
+        return out + self._rest(self._states[state] if type(state) is int else state)
 
     def _reset(self) -> None:
         self._states: list[tuple[Hypothesis, ...]] = []
         self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self._number: dict[tuple[Hypothesis, ...], int] = {}
+        self._passing = 0
         self._intern(((ROOT, NONE, ()),))
 
-    def _intern(self, state: tuple[Hypothesis, ...]) -> int:
+    def _intern(self, state: State) -> int | State:
+        """The number of a state; the state itself if there is no room for one more."""
         number = self._number.get(state)
-        if number is None:
-            number = self._number[state] = len(self._states)
-            self._states.append(state)
-            self._moves.append({})
+        if number is not None:
+            return number
+        if len(self._states) >= self._max_states:
+            self._passing += 1
+            return state
+        number = self._number[state] = len(self._states)
+        self._states.append(state)
+        self._moves.append({})
         return number
 
-    def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: State, byte: int) -> tuple[int | State, tuple[int, ...]]:
         reached: list[Hypothesis] = []
-        for node, before, waiting in self._states[number]:
+        for node, before, waiting in state:
             child = self._children[node].get(byte)
             if child is None:
                 continue
@@ -105,13 +124,15 @@ class Transducer:
             if any(t != column[0] for t in column):
                 break
             shared += 1
-        state = tuple(sorted((n, b, w[shared:]) for n, b, w in reached))
-        move = self._intern(state), paths[0][:shared]
-        self._moves[number][byte] = move
-        return move
+        after = tuple(sorted((n, b, w[shared:]) for n, b, w in reached))
+        return self._intern(after), paths[0][:shared]
 
-    def _rest(self, number: int) -> list[int]:
-        return next(list(w) for node, _, w in self._states[number] if node == ROOT)
+    @staticmethod
+    def _rest(state: State) -> list[int]:
+        for node, _, waiting in state:
+            if node == ROOT:
+                return list(waiting)
+        raise ValueError("every byte must be a token")
 
     def _follows(self, before: int, token: int) -> bool:
         key = (before, token)
@@ -170,28 +191,32 @@ class Utf8Stream:
 class ByteBPE:
     """Whole texts: split by ``pattern``, encode each piece separately, decode as a stream.
 
-    A bounded memo of pieces saves repeated walks.
+    A memo saves repeated walks. It has two halves of at most ``memo_bytes``: when one is full it
+    takes the place of the older one, so pieces in use are not lost.
     """
 
-    def __init__(self, path: str, pattern: str, memo_pieces: int = 300_000):
+    def __init__(self, path: str, pattern: str, memo_bytes: int = 60_000_000):
         ranks = load_ranks(path)
         self._split = regex.compile(pattern).findall
         self._transducer = Transducer(ranks)
         self._memo: dict[str, bytes] = {}
-        self._memo_pieces = memo_pieces
+        self._older: dict[str, bytes] = {}
+        self._memo_bytes, self._held = memo_bytes, 0
         self._tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self._tokens[rank] = token
 
     def encode(self, text: str | None) -> np.ndarray:
         pieces = self._split(text or "")
+        if self._held > self._memo_bytes:
+            self._older, self._memo, self._held = self._memo, {}, 0
         memo = self._memo
-        if len(memo) > self._memo_pieces:
-            memo.clear()
-        for piece in dict.fromkeys(pieces):
-            if piece not in memo:
-                ids = self._transducer.encode(piece.encode())
-                memo[piece] = np.array(ids, "<u4").tobytes()
+        for piece in set(pieces).difference(memo):
+            ids = self._older.get(piece)
+            if ids is None:
+                ids = array("I", self._transducer.encode(piece.encode())).tobytes()
+            memo[piece] = ids
+            self._held += len(piece) + len(ids) + 150  # two objects and their place in the table
         return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), "<u4")
 
     def decode_bytes(self, ids: np.ndarray, at_once: int = 1 << 16) -> Iterator[bytes]:
