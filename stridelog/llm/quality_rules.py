@@ -1,5 +1,11 @@
 """Quality rules that vote or abstain, weighed by expectation-maximisation.
 
+A text is good, or bad in one of several ways: each rule stands for a way of its own, which it
+sees best. A single kind of bad text would not do: texts full of symbols pass the rules on repeats
+and the other way round, so the one kind would become the larger group and clear the other. For
+every way, and for good texts, each rule has its own probability to vote "bad" when it votes at
+all; abstaining says nothing, since it depends on the length of a text.
+
 Spark SQL only: the estimation runs over the histogram of vote patterns, which has at most
 three to the power of the number of rules rows, as one array folded by ``aggregate``.
 """
@@ -14,9 +20,13 @@ from .common import documents, staged
 WINDOW = 8
 ROUNDS = 25
 KEEP_FROM = 0.5
-#: An accuracy starts at ACCURACY and counts as if seen right in ACCURACY * WEIGHT of WEIGHT votes.
-ACCURACY, WEIGHT = 0.8, 10
-LOWEST, HIGHEST = 0.55, 0.99
+#: Probability of a vote "bad" to start from, counted like WEIGHT votes: by a rule on a text that is
+#: bad in its way, and on any other text.
+SEEN, STRAY, WEIGHT = 0.8, 0.02, 10
+#: Bounds of these probabilities, on good texts, and of the shares.
+LOWEST, HIGHEST, STRAYEST, LEAST_SHARE = 0.001, 0.999, 0.05, 0.001
+#: Share of good texts to start from.
+GOOD = 0.8
 
 #: Each rule says 1 (good), -1 (bad) or 0 (abstains). Valid in Spark and in standard SQL.
 RULES = {
@@ -91,46 +101,58 @@ def signals(docs: DataFrame) -> DataFrame:
     )
 
 
+def _start(rules: int) -> list[float]:
+    """Probabilities of a vote "bad", class after class; class 0 is good, class j + 1 is rule j's."""
+    return [SEEN if c == j + 1 else STRAY for c in range(rules + 1) for j in range(rules)]
+
+
 def estimate(votes: DataFrame, rules: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """One row with ``model``: the share of good texts and each rule's accuracy.
+    """One row with ``model``: shares of the classes, and ``bad``: probabilities of votes "bad".
 
-    A rule is right with the same probability for good and bad texts, independently of the
-    others. Patterns are counted before the shuffle; an empty input gives no row.
+    Class 0 is good, class j + 1 bad in the way of rule j; ``bad`` has the rules' probabilities
+    class after class. Given the class, rules vote independently. Patterns are counted before the
+    shuffle; an empty input gives no row.
     """
+    size = len(rules)
     patterns = votes.groupBy(F.array(*rules).alias("votes")).agg(F.count("*").alias("n"))
     listed = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("patterns"))
     total = "aggregate(seen, 0D, (s, p) -> s + {})"
-    accuracies = ", ".join(
-        f"least({HIGHEST}D, greatest({LOWEST}D, ("
-        + total.format(f"p.n * CASE p.votes[{j}] WHEN 1 THEN p.q WHEN -1 THEN 1 - p.q ELSE 0D END")
-        + f" + {ACCURACY * WEIGHT}D) / ("
-        + total.format(f"p.n * abs(p.votes[{j}])")
-        + f" + {WEIGHT}D)))"
-        for j in range(len(rules))
-    )
-    share = f"least(0.95D, greatest(0.05D, {total.format('p.n * p.q')} / {total.format('p.n')}))"
-    start = f"named_struct('share', 0.5D, 'accuracy', array({', '.join([f'{ACCURACY}D'] * len(rules))}))"
+    first = ", ".join(f"{p}D" for p in _start(size))
+    shares = ", ".join([f"{GOOD}D"] + [f"{(1 - GOOD) / size}D"] * size)
+    start = f"named_struct('share', array({shares}), 'bad', array({first}))"
     seen = (
         "transform(patterns, p -> struct(p.votes AS votes, CAST(p.n AS DOUBLE) AS n, "
-        + posterior("p.votes", "m")
+        + classes("p.votes", "m", size)
         + " AS q))"
     )
+    share = (
+        f"transform(sequence(0, {size}), c -> greatest({LEAST_SHARE}D, "
+        + total.format("p.n * p.q[c]") + " / " + total.format("p.n") + "))"
+    )
+    highest = f"IF(i < {size}, {STRAYEST}D, {HIGHEST}D)"
+    of = f"p.votes[i % {size}]"
+    by = f"p.n * p.q[i DIV {size}]"
+    bad = (
+        f"transform(array({first}), (start, i) -> least({highest}, greatest({LOWEST}D, ("
+        + total.format(f"IF({of} = -1, {by}, 0D)") + f" + start * {WEIGHT}) / ("
+        + total.format(f"IF({of} <> 0, {by}, 0D)") + f" + {WEIGHT}))))"
+    )
     # The array of one element binds the E step's result for the many sums of the M step.
-    step = (
-        f"transform(array({seen}), seen -> named_struct('share', {share},"
-        f" 'accuracy', array({accuracies})))[0]"
-    )
+    step = f"transform(array({seen}), seen -> named_struct('share', {share}, 'bad', {bad}))[0]"
     model = f"aggregate(sequence(1, {rounds}), {start}, (m, i) -> {step})"
     return listed.filter("size(patterns) > 0").select(F.expr(model).alias("model"))
 
 
-def posterior(votes: str, model: str) -> str:
-    """SQL for the probability that a text with these votes is good."""
+def classes(votes: str, model: str, size: int) -> str:
+    """SQL for the probability of each class, given votes."""
     evidence = (
-        f"aggregate(zip_with({votes}, {model}.accuracy, (v, a) -> v * ln(a / (1 - a))),"
-        " 0D, (s, x) -> s + x)"
+        f"aggregate(sequence(0, {size - 1}), 0D, (s, j) -> s + CASE {votes}[j]"
+        f" WHEN -1 THEN ln({model}.bad[c * {size} + j])"
+        f" WHEN 1 THEN ln(1 - {model}.bad[c * {size} + j]) ELSE 0D END)"
     )
-    return f"(1 / (1 + exp(-(ln({model}.share / (1 - {model}.share)) + {evidence}))))"
+    weights = f"transform(sequence(0, {size}), c -> {model}.share[c] * exp({evidence}))"
+    normal = "transform(w, x -> x / aggregate(w, 0D, (s, x) -> s + x))"
+    return f"transform(array({weights}), w -> {normal})[0]"
 
 
 def quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -148,7 +170,7 @@ def quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     return (
         votes.withColumn("votes", F.array(*rules))
         .withColumn("m", model)
-        .withColumn("quality", F.expr(posterior("votes", "m")))
+        .withColumn("quality", F.expr(f"{classes('votes', 'm', len(rules))}[0]"))
         .withColumn("base_failed", F.expr(BASE_FAILED))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
     )
@@ -167,26 +189,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same estimation in standard SQL, one pair of steps after the other."""
     names = list(RULES)
+    size = len(names)
     steps = []
-    for k in range(ROUNDS):
-        evidence = " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in names)
+    for k in range(ROUNDS + 1):
         steps.append(
-            f"e{k} AS MATERIALIZED (SELECT p.*, 1 / (1 + exp(-(ln(share / (1 - share)) + {evidence})))"
-            f" AS q FROM patterns p, m{k})"
+            f"""w{k} AS MATERIALIZED (
+                SELECT id, n, c, share * exp(sum(CASE v WHEN -1 THEN ln(bad) WHEN 1 THEN ln(1 - bad)
+                                                 ELSE 0 END)) AS w
+                FROM votes JOIN b{k} USING (j) JOIN s{k} USING (c) GROUP BY id, n, c, share),
+            q{k} AS MATERIALIZED (
+                SELECT id, n, c, w / sum(w) OVER (PARTITION BY id) AS q FROM w{k})"""
         )
-        accuracies = ", ".join(
-            f"least({HIGHEST}, greatest({LOWEST}, (sum(n * CASE v_{r} WHEN 1 THEN q WHEN -1 THEN 1 - q"
-            f" ELSE 0 END) + {ACCURACY * WEIGHT}::DOUBLE) / (sum(n * abs(v_{r})) + {WEIGHT}))) AS a_{r}"
-            for r in names
-        )
-        steps.append(
-            f"m{k + 1} AS MATERIALIZED (SELECT least(0.95, greatest(0.05, sum(n * q) / sum(n))) AS share,"
-            f" {accuracies} FROM e{k})"
-        )
-    start = ", ".join(f"{ACCURACY}::DOUBLE AS a_{r}" for r in names)
+        if k < ROUNDS:
+            steps.append(
+                f"""s{k + 1} AS MATERIALIZED (
+                SELECT c, greatest({LEAST_SHARE}, sum(n * q) / (SELECT sum(n) FROM patterns)) AS share
+                FROM q{k} GROUP BY c),
+            b{k + 1} AS MATERIALIZED (
+                SELECT c, j, least(if(c = 0, {STRAYEST}, {HIGHEST}), greatest({LOWEST},
+                           (sum(CASE v WHEN -1 THEN votes.n * q ELSE 0 END) + bad * {WEIGHT})
+                           / (sum(CASE v WHEN 0 THEN 0 ELSE votes.n * q END) + {WEIGHT}))) AS bad
+                FROM q{k} JOIN votes USING (id) JOIN b0 USING (c, j) GROUP BY c, j, bad)"""
+            )
+    shares = ", ".join(f"({c}, {GOOD if c == 0 else (1 - GOOD) / size}::DOUBLE)" for c in range(size + 1))
+    start = ", ".join(f"({i // size}, {i % size}, {p}::DOUBLE)" for i, p in enumerate(_start(size)))
     votes = ", ".join(f"{sql} AS v_{r}" for r, sql in RULES.items())
     columns = ", ".join(f"v_{r}" for r in names)
-    evidence = " + ".join(f"v_{r} * ln(a_{r} / (1 - a_{r}))" for r in names)
+    listed = " UNION ALL ".join(
+        f"SELECT id, n, {j} AS j, v_{r} AS v FROM patterns" for j, r in enumerate(names)
+    )
+    same = " AND ".join(f"voted.v_{r} = patterns.v_{r}" for r in names)
     return rf"""
         WITH split AS (
             SELECT doc_id, coalesce(text, '') AS text,
@@ -217,14 +249,17 @@ def _sql() -> str:
             FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id
         ),
         voted AS MATERIALIZED (SELECT *, {votes} FROM counted),
-        patterns AS MATERIALIZED (SELECT {columns}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
-        m0 AS MATERIALIZED (SELECT 0.5::DOUBLE AS share, {start}),
+        patterns AS MATERIALIZED (
+            SELECT row_number() OVER () AS id, * FROM (
+                SELECT {columns}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL)),
+        votes AS MATERIALIZED ({listed}),
+        s0 AS MATERIALIZED (SELECT * FROM (VALUES {shares}) AS t(c, share)),
+        b0 AS MATERIALIZED (SELECT * FROM (VALUES {start}) AS t(c, j, bad)),
         {", ".join(steps)}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                {BASE_FAILED} AS base_failed,
-               NOT ({BASE_FAILED})
-                   AND 1 / (1 + exp(-(ln(share / (1 - share)) + {evidence}))) >= {KEEP_FROM} AS kept
-        FROM voted, m{ROUNDS}
+               NOT ({BASE_FAILED}) AND q >= {KEEP_FROM} AS kept
+        FROM voted JOIN patterns ON {same} JOIN q{ROUNDS} USING (id) WHERE c = 0
     """
 
 

@@ -59,18 +59,26 @@ def test_verdicts(llm, docs, empty):
     assert rows[99]["quality"] < rows[0]["quality"]
 
 
-def test_estimation_recovers_accuracies(llm):
+def test_estimation_recovers_classes(llm):
     rng = np.random.default_rng(3)
-    good = rng.random(20_000) < 0.7
-    accuracy = (0.95, 0.8, 0.65)
-    votes = []
-    for a in accuracy:
-        right = rng.random(len(good)) < a
-        vote = np.where(right == good, 1, -1)
-        votes.append(np.where(rng.random(len(good)) < 0.2, 0, vote))
-    frame = llm.createDataFrame([tuple(map(int, v)) for v in zip(*votes)], "a int, b int, c int")
-    model = quality_rules.estimate(frame, ["a", "b", "c"], 60).first().model
-    assert np.allclose(model.accuracy, accuracy, atol=0.04) and abs(model.share - 0.7) < 0.04
+    shares, names = (0.7, 0.15, 0.1, 0.05), ["a", "b", "c"]
+    bad = np.array([[0.01, 0.02, 0.03], [0.9, 0.1, 0.1], [0.02, 0.8, 0.3], [0.1, 0.05, 0.95]])
+    kind = rng.choice(4, 20_000, p=shares)
+    votes = np.where(rng.random((len(kind), 3)) < bad[kind], -1, 1)
+    votes[rng.random(votes.shape) < 0.2] = 0
+    frame = llm.createDataFrame(votes.tolist(), "a int, b int, c int")
+    model = quality_rules.estimate(frame, names, 60).first().model
+    assert np.allclose(model.share, shares, atol=0.05) and abs(sum(model.share) - 1) < 1e-9
+    assert np.allclose(np.array(model.bad).reshape(4, 3)[:, :].diagonal(-1), [0.9, 0.8, 0.95], atol=0.15)
+
+
+def test_the_method_rejects_what_the_base_lets_pass(llm):
+    """Against the labels of the generated documents, which the method does not see."""
+    labels = {r["doc_id"]: r["quality"] for r in dicts(llm.read.parquet(f"{SF_DIR}/labels.parquet"))}
+    rows = dicts(quality_rules.quality(llm.read.parquet(f"{SF_DIR}/documents.parquet")))
+    passed = [r for r in rows if not r["base_failed"] and labels.get(r["doc_id"]) is not None]
+    rejected = {q: [not r["kept"] for r in passed if labels[r["doc_id"]] == q] for q in (0, 1)}
+    assert np.mean(rejected[0]) > 0.9 and np.mean(rejected[1]) < 0.02
 
 
 # --- license scan
