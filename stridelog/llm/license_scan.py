@@ -9,8 +9,11 @@ from .common import documents
 
 #: Words of a k-gram. Two, because the shortest phrases have two words.
 K = 2
-#: Diagonals this near each other belong to one span: so many words may be missing or added.
+#: Diagonals this near each other belong to one span: so many words may be missing or added at a
+#: place. In all a span may be longer than its template by as many and a quarter.
 DRIFT = 3
+#: Positions of a template whose votes share a number.
+BLOCK = 63
 #: Least share of a template's k-grams that a span of its own labels must hold.
 MIN_COVER = 0.7
 
@@ -20,7 +23,7 @@ BASE = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-# Sentences of well-known licenses, at most 64 words each, by label.
+# Sentences of well-known licenses, by label.
 TEMPLATES = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software "
     "and associated documentation files": "mit",
@@ -58,18 +61,23 @@ def _templates(spark: SparkSession, phrases: dict[str, str], base: bool) -> Data
     return spark.createDataFrame(rows, names)
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(
+    docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES
+) -> DataFrame:
     """Verified occurrences: doc_id, text_key, template, label, base, first, last, cover.
 
     All k-grams of all texts are hashed and joined to the positions of the templates' k-grams
     (which are given, so they are broadcast), and the words are compared where hashes agree.
     Votes are counted by offset diagonal (position in the text minus position in the template),
     within tasks before the shuffle. A base phrase is found where its diagonal has all its
-    k-grams; for other templates diagonals at most ``DRIFT`` apart are merged and must together
-    hold ``MIN_COVER`` of the template.
+    k-grams. For other templates (of any length) a diagonal that holds ``MIN_COVER`` of the
+    template is an occurrence; else diagonals at most ``DRIFT`` apart are merged to a span, which
+    is verified: of its k-grams, each at its first place there, those count that stand after all
+    that precede them in the template, and the words from the first to the last of these may be
+    no more than the template's, a quarter and ``DRIFT``. Words in another order are no occurrence.
     """
     spark = docs.sparkSession
-    grams = _templates(spark, BASE, True).unionByName(_templates(spark, TEMPLATES, False))
+    grams = _templates(spark, base, True).unionByName(_templates(spark, templates, False))
     grams = F.broadcast(grams.withColumn("gram", F.xxhash64("w0", "w1")))
     gram = "transform(words, (w, i) -> struct(xxhash64(w, get(words, i + 1)) AS gram, w AS x0, get(words, i + 1) AS x1))"
     places = (
@@ -77,28 +85,48 @@ def spans(docs: DataFrame) -> DataFrame:
         .select("doc_id", "text_key", F.posexplode(F.expr(gram)).alias("pos", "found"))
         .select("doc_id", "text_key", "pos", "found.gram", "found.x0", "found.x1")
     )
+    of = ["doc_id", "text_key", "template", "label", "base", "size"]
     votes = (
         places.join(grams, "gram")
         .filter((F.col("x0") == F.col("w0")) & (F.col("x1") == F.col("w1")))
-        .groupBy("doc_id", "text_key", "template", "label", "base", "size",
-                 (F.col("pos") - F.col("at")).alias("diagonal"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"),
-             F.min("pos").alias("first"), F.max("pos").alias("last"))
-    )
-    whole = F.bit_count("seen") == F.col("size") - K + 1
-    exact = votes.filter(F.col("base") & whole).withColumn("cover", F.lit(1.0))
+        .groupBy(*of, (F.col("pos") - F.col("at")).alias("diagonal"), F.expr(f"at DIV {BLOCK}").alias("block"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, at % {BLOCK})")).alias("seen"))
+    )
+    # All blocks of a diagonal: its votes, and the first and last place of them.
+    low = F.min(F.expr(f"diagonal + CAST(block AS INT) * {BLOCK} + bit_count((seen & -seen) - 1)"))
+    high = F.max(F.expr(f"diagonal + CAST(block AS INT) * {BLOCK} + length(bin(seen)) - 1"))
+    share = F.sum(F.bit_count("seen")) / (F.col("size") - K + 1)
+    diagonals = votes.groupBy(*of, "diagonal").agg(
+        share.alias("cover"), low.alias("first"), high.alias("last")
+    )
+    exact = diagonals.filter(F.when(F.col("base"), F.col("cover") == 1).otherwise(F.col("cover") >= MIN_COVER))
     by_text = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    near = (
+    gap = F.col("diagonal") - F.lag("diagonal").over(by_text)
+    apart = (F.coalesce(gap, F.lit(DRIFT + 1)) > DRIFT).cast("int")
+    merged = (
         votes.filter(~F.col("base"))
-        .withColumn("gap", F.col("diagonal") - F.lag("diagonal").over(by_text))
-        .withColumn("span", F.sum((F.coalesce(F.col("gap"), F.lit(DRIFT + 1)) > DRIFT).cast("int")).over(by_text))
-        .groupBy("doc_id", "text_key", "template", "label", "base", "size", "span")
-        .agg(F.bit_or("seen").alias("seen"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("cover", F.bit_count("seen") / (F.col("size") - K + 1))
+        .withColumn("span", F.sum(apart).over(by_text))
+        .withColumn("bit", F.explode(F.expr(f"filter(sequence(0, {BLOCK - 1}), b -> shiftright(seen, b) & 1 = 1)")))
+        .withColumn("at", (F.col("block") * BLOCK + F.col("bit")).cast("int"))
+        .groupBy(*of, "span", "at")
+        .agg(F.min(F.col("diagonal") + F.col("at")).alias("pos"))
+    )
+    in_order = Window.partitionBy("doc_id", "text_key", "template", "span").orderBy("at")
+    before = F.max("pos").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    verified = (
+        merged.withColumn("before", before)
+        .filter(F.col("before").isNull() | (F.col("pos") > F.col("before")))
+        .groupBy(*of, "span")
+        .agg(
+            (F.count(F.lit(1)) / (F.col("size") - K + 1)).alias("cover"),
+            F.min("pos").alias("first"),
+            F.max("pos").alias("last"),
+        )
         .filter(F.col("cover") >= MIN_COVER)
-    )
+        .filter(F.col("last") - F.col("first") + K <= F.col("size") + F.expr("size DIV 4") + DRIFT)
+    )
     columns = ["doc_id", "text_key", "template", "label", "base", "first", "last", "cover"]
-    return exact.select(*columns).unionByName(near.select(*columns))
+    return exact.select(*columns).unionByName(verified.select(*columns))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -168,27 +196,40 @@ def _sql() -> str:
             SELECT doc_id, phrase, label, base, size, pos - place AS diagonal, place, pos
             FROM places JOIN template USING (pair)
         ),
+        diagonals AS (
+            SELECT doc_id, phrase, label, base, size, diagonal, min(pos) AS first,
+                   count(DISTINCT place)::DOUBLE / (size - 1) AS cover
+            FROM votes GROUP BY doc_id, phrase, label, base, size, diagonal
+        ),
         exact AS (
-            SELECT doc_id, label, true AS base, min(pos) AS first, 1::DOUBLE AS cover
-            FROM votes WHERE base GROUP BY doc_id, phrase, label, size, diagonal
-            HAVING count(DISTINCT place) = size - 1
+            SELECT doc_id, label, base, first, cover FROM diagonals
+            WHERE CASE WHEN base THEN cover = 1 ELSE cover >= {MIN_COVER} END
         ),
-        diagonals AS (SELECT DISTINCT doc_id, phrase, diagonal FROM votes WHERE NOT base),
         steps AS (
-            SELECT *, diagonal - lag(diagonal) OVER w AS gap FROM diagonals
-            WINDOW w AS (PARTITION BY doc_id, phrase ORDER BY diagonal)
+            SELECT doc_id, phrase, diagonal, diagonal - lag(diagonal) OVER w AS gap
+            FROM diagonals WHERE NOT base WINDOW w AS (PARTITION BY doc_id, phrase ORDER BY diagonal)
         ),
         islands AS (
             SELECT *, sum((coalesce(gap, {DRIFT + 1}) > {DRIFT})::INT) OVER w AS span FROM steps
             WINDOW w AS (PARTITION BY doc_id, phrase ORDER BY diagonal)
         ),
-        near AS (
-            SELECT v.doc_id, label, false AS base, min(pos) AS first,
-                   count(DISTINCT place)::DOUBLE / (size - 1) AS cover
+        firsts AS (
+            SELECT v.doc_id, v.phrase, label, size, span, place, min(pos) AS pos
             FROM votes v JOIN islands i
               ON v.doc_id = i.doc_id AND v.phrase = i.phrase AND v.diagonal = i.diagonal
-            WHERE NOT v.base GROUP BY v.doc_id, v.phrase, label, size, span
-            HAVING count(DISTINCT place)::DOUBLE / (size - 1) >= {MIN_COVER}
+            WHERE NOT v.base GROUP BY ALL
+        ),
+        chained AS (
+            SELECT *, pos > coalesce(max(pos) OVER (PARTITION BY doc_id, phrase, span ORDER BY place
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS in_order
+            FROM firsts
+        ),
+        near AS (
+            SELECT doc_id, label, false AS base, min(pos) AS first,
+                   count(*)::DOUBLE / (size - 1) AS cover
+            FROM chained WHERE in_order GROUP BY doc_id, phrase, label, size, span
+            HAVING count(*)::DOUBLE / (size - 1) >= {MIN_COVER}
+               AND max(pos) - min(pos) + {K} <= size + size // 4 + {DRIFT}
         ),
         found AS (
             SELECT doc_id, count(*) FILTER (WHERE base) AS n_base,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from pathlib import Path
@@ -125,6 +126,72 @@ def test_templates_with_words_missing_and_added(llm):
     assert rows[2]["labels"] == "" and rows[2]["score"] == 0
 
 
+def brute_template(words, template, k=license_scan.K):
+    """The best cover of one template, by the definition, over single places."""
+    template = template.split()
+    grams = len(template) - k + 1
+    hits = [
+        (pos - at, at, pos)
+        for pos in range(len(words) - k + 1)
+        for at in range(grams)
+        if words[pos : pos + k] == template[at : at + k]
+    ]
+    best, islands = 0.0, []
+    for diagonal in sorted({d for d, _, _ in hits}):
+        best = max(best, sum(d == diagonal for d, _, _ in hits) / grams)
+        if islands and diagonal - islands[-1][-1] <= license_scan.DRIFT:
+            islands[-1].append(diagonal)
+        else:
+            islands.append([diagonal])
+    best = best if best >= license_scan.MIN_COVER else 0.0
+    for island in islands:
+        chain, before = [], -1
+        for at in range(grams):
+            places = [pos for d, a, pos in hits if a == at and d in island]
+            if places:
+                if min(places) > before:
+                    chain.append(min(places))
+                before = max(before, min(places))
+        long = max(chain) - min(chain) + k > len(template) + len(template) // 4 + license_scan.DRIFT
+        if len(chain) / grams >= license_scan.MIN_COVER and not long:
+            best = max(best, len(chain) / grams)
+    return best
+
+
+def test_labels_and_scores_equal_brute_force(llm):
+    rng = random.Random(8)
+    texts = ["rights reserved all rights", "all rights reserved " * 40, "all rights and reserved rights"]
+    for template in license_scan.TEMPLATES:
+        for _ in range(6):
+            words = template.split()
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choices(["x", "the", "license", "all"], k=rng.randrange(5))
+            texts.append(" ".join([*rng.choices(["all", "y"], k=3), *words, *words[: rng.randrange(5)]]))
+        texts.append(" ".join(reversed(template.split())))
+        half = template.split()
+        texts.append(" ".join([*half[len(half) // 2 :], *half[: len(half) // 2]]))
+    rows = by_id(license_scan.license_scan(table(llm, list(enumerate(texts)))))
+    for i, text in enumerate(texts):
+        covers = {t: brute_template(text.split(), t) for t in license_scan.TEMPLATES}
+        labels = {license_scan.TEMPLATES[t] for t, cover in covers.items() if cover}
+        base = set(filter(None, brute_licenses(text)[4].split(",")))
+        assert rows[i]["labels"] == ",".join(sorted(labels | base)), text
+        assert abs(rows[i]["score"] - max([*covers.values(), float(bool(base))])) < 1e-12, text
+    assert rows[0]["labels"] == "" and rows[1]["labels"] == "all-rights-reserved"
+
+
+def test_a_template_longer_than_one_block(llm):
+    template = prose(21, 200, 10**6)
+    words = template.split()
+    changed = [*words[:70], "a", "b", *words[70:130], *words[132:]]
+    texts = [template, " ".join(changed), " ".join(words[100:] + words[:100]), " ".join(words[:130])]
+    found = license_scan.spans(table(llm, list(enumerate(texts))), templates={template: "own"})
+    spans = {(r["doc_id"], r["first"], r["last"]): r["cover"] for r in dicts(found)}
+    assert spans[0, 0, 198] == 1 and set(i for i, _, _ in spans) == {0, 1}
+    assert max(c for (i, _, _), c in spans.items() if i == 1) == brute_template(changed, template)
+
+
 # --- language identification
 
 
