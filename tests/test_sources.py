@@ -251,3 +251,46 @@ def test_bounds_of_the_model_prune_days(spark, tmp_path):
     assert ORDERED(found) == ORDERED(model.query(source, "pages", ["domain", "users.role"], where))
     with pytest.raises(ValueError, match="tables of events"):
         model.query(t, "users", ["role"], **bounds)
+
+
+@pytest.fixture
+def bucketed(spark, tmp_path):
+    """The input as catalog tables bucketed by user, with the lookup."""
+    source = fixture_tables(spark, SF_DIR)
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path}/db'")
+    tables = {
+        "pages": source.pages,
+        "tracks": source.tracks,
+        "domains": user_domains(source.pages),
+    }
+    for name, rows in tables.items():
+        layout.save_bucketed(rows, f"bucketed.{name}", 8, f"{tmp_path}/{name}", by_day=name != "domains")
+    source.users.write.option("path", f"{tmp_path}/users").saveAsTable("bucketed.users")
+    yield Tables.from_catalog(spark, "bucketed", day_column=layout.DAY_COLUMN, domains=True)
+    spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, bucketed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        report = REPORTS["mau_by_domain"](bucketed, registry.EVERY_CUSTOMER)
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # All that is indented more than the join lies below it.
+    lines = plan.splitlines()
+    (join,) = [i for i, line in enumerate(lines) if "SortMergeJoin [user_id" in line]
+    depth = lines[join].index("SortMergeJoin")
+    below = []
+    for line in lines[join + 1 :]:
+        if len(line) - len(line.lstrip(" :+-*()0123456789")) <= depth - 4:
+            break
+        below.append(line)
+    text = "\n".join(below)
+    assert text.count("FileScan") == 2 and "Exchange" not in text and "Bucketed: true" in text
+    assert "PartitionFilters: [isnotnull(event_day" in text
+    assert ORDERED(report) == ORDERED(
+        REPORTS["mau_by_domain"](fixture_tables(spark, SF_DIR), registry.EVERY_CUSTOMER)
+    )
