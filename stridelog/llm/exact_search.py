@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -117,7 +117,7 @@ class KDTree:
 
 def exact_search(
     table: DataFrame,
-    is_query: F.Column,
+    is_query: Column,
     scale: int,
     k: int = 20,
     id_col: str = "vec_id",

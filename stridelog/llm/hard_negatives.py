@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -237,8 +237,8 @@ def _negatives(points: pa.Table, asked: pa.Table, width: int, k: int, low_pct: i
 
 def hard_negatives(
     table: DataFrame,
-    is_anchor: F.Column,
-    label: F.Column,
+    is_anchor: Column,
+    label: Column,
     scale: int,
     positives: int = 5,
     negatives: int = 10,

@@ -18,7 +18,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -97,7 +97,7 @@ def with_shared_heads(convs: DataFrame, family: int = 5, heads: int = 9) -> Data
     )
     h = (F.crc32(id_.cast("string")) % heads).cast("int")
 
-    def rebuilt(head: str, own: str):
+    def rebuilt(head: str, own: str) -> Column:
         taken = F.slice(F.coalesce(F.col(head), F.array().cast(convs.schema[own].dataType)), 1, h)
         return F.concat(taken, F.slice(own, h + 1, F.size(own)))
 
@@ -165,7 +165,7 @@ def _table(rows: list[dict], schema: str) -> pa.Table:
 # --- groups and shards
 
 
-def _prefix(depth) -> F.Column:
+def _prefix(depth: Column) -> Column:
     """Digest of the first ``depth`` turns, or of all if there are fewer."""
     return F.md5(F.substr("turns", F.lit(1), F.lit(HEX) * depth))
 
@@ -362,7 +362,7 @@ def prefix_trie(
     return deep.unionByName(top.select(*_columns())).unionByName(upper.select(*_columns()))
 
 
-def _columns() -> list[F.Column]:
+def _columns() -> list[Column]:
     named = {"saved_tokens": F.col("saved"), "ends_sha256": F.coalesce("ends", F.lit(NO_ENDS))}
     return [named.get(name, F.col(name)).alias(name) for name in OUTPUT]
 
