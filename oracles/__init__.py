@@ -14,6 +14,8 @@ from .base import with_inputs
 #: Registered variants of a report whose statement differs in inputs only.
 _WORKFLOWS = ("top_events_by_domain", "mau_by_domain", "derived_sessions")
 _MAINTAINED = ("mau_by_domain", "customer_health_scorecard")
+#: Reports over events by day.
+_DAYS = ("mau_by_domain", "session_duration", "churned_users", "model_tracks_of_march")
 #: Reports from the stored state; the statements know no state.
 _STORED = (
     "user_domains",
@@ -35,6 +37,7 @@ def all_sql() -> dict[str, str]:
         **{f"{name}_workflows": with_inputs(bodies[name], workflows=True) for name in _WORKFLOWS},
         **{f"{name}_maintained": with_inputs(bodies[name]) for name in _MAINTAINED},
         **{_stored_name(name): with_inputs(bodies[name]) for name in _STORED},
+        **{f"{name}_days": with_inputs(bodies[name]) for name in _DAYS},
         "mau_by_domain_stored_workflows": with_inputs(bodies["mau_by_domain"], workflows=True),
         "mau_by_domain_panama": with_inputs(bodies["mau_by_domain"], minutes=-300),
     }

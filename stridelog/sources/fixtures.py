@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.domains import update_domains, user_domains
+from .layout import DAY_COLUMN, write_domains, write_events
 from .state import Stored, UsageState
 from .tables import Tables
 
@@ -180,15 +181,7 @@ def prepare_fixture(spark: SparkSession, sf_dir: str) -> None:
     derived = derived_fixture(spark, sf_dir)
     for table in ("pages", "tracks", "users", "domains"):
         getattr(derived, table).write.parquet(f"{root}/{name}/{table}")
-    files, marker = _marker(spark, root)
-    try:
-        out = files.create(marker, False)
-    except Py4JJavaError:
-        if _published(spark, root) is None:
-            raise
-        return  # somebody else was first
-    out.write(bytearray(name.encode()))
-    out.close()
+    _publish(spark, root, name)
 
 
 def fixture(spark: SparkSession, sf_dir: str, domains: bool = False) -> Tables:
@@ -214,19 +207,39 @@ def fixture_state(spark: SparkSession, sf_dir: str) -> Stored:
     It is built once per application, below the shared folder. Without one a local session gets a
     temporary folder.
     """
-    root = _root(spark, sf_dir)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stridelog-"))
-        root = _root(spark, sf_dir)
-    state = UsageState(spark, f"{root}/state")
+    state = UsageState(spark, f"{_shared_root(spark, sf_dir)}/state")
     tables = fixture(spark, sf_dir)
     for through in STATE_LOADS:
         state.update(tables, through)
     return state.tables()
 
 
+def fixture_days(spark: SparkSession, sf_dir: str) -> Tables:
+    """The input tables in the layout for production: events by UTC day, and the lookup.
+
+    They are written once per application, like the stored state.
+    """
+    root = f"{_shared_root(spark, sf_dir)}/days"
+    if _published(spark, root) is None:
+        name, source = uuid4().hex, fixture(spark, sf_dir, domains=True)
+        write_events(source.pages, f"{root}/{name}/pages", ("domain", "user_id"))
+        write_events(source.tracks, f"{root}/{name}/tracks")
+        write_domains(source.domains, f"{root}/{name}/domains")
+        source.users.write.parquet(f"{root}/{name}/users")
+        _publish(spark, root, name)
+    folder = f"{root}/{_published(spark, root)}"
+    return Tables.from_parquet(spark, folder, day_column=DAY_COLUMN, domains=True)
+
+
+def _shared_root(spark: SparkSession, sf_dir: str) -> str:
+    """``_root``, below a temporary folder if a local session has no shared one."""
+    if _root(spark, sf_dir) is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stridelog-"))
+    return _root(spark, sf_dir)
+
+
 def _root(spark: SparkSession, sf_dir: str) -> str | None:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -240,6 +253,19 @@ def _marker(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
+def _publish(spark: SparkSession, root: str, name: str) -> None:
+    """Create the marker that names the copy to read; the first writer wins."""
+    files, marker = _marker(spark, root)
+    try:
+        out = files.create(marker, False)
+    except Py4JJavaError:
+        if _published(spark, root) is None:
+            raise
+        return
+    out.write(bytearray(name.encode()))
+    out.close()
+
+
 def _published(spark: SparkSession, root: str) -> str | None:
     files, marker = _marker(spark, root)
     if not files.exists(marker):
