@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -32,6 +33,7 @@ class WordEncoder:
         self._tokenizer.encode_special_tokens = True  # they are cut out of the text beforehand
         self._lowers = '"type":"Lowercase"' in self._tokenizer.to_str()
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         added = self._tokenizer.get_added_tokens_decoder()
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("only tokens that stand for their own string are supported")
@@ -39,14 +41,15 @@ class WordEncoder:
             t.content.encode(): np.array([i], self.dtype).tobytes() for i, t in added.items()
         }
         longest_first = sorted(self._added, key=len, reverse=True)
-        self._cut = re.compile(b"(%s)" % b"|".join(map(re.escape, longest_first))) if added else None
+        self._cut = re.compile(b"(%s)" % b"|".join(map(re.escape, longest_first)))
+        self._begins = os.path.commonprefix(longest_first)  # the search for it is the faster one
         self._memo: dict[bytes, bytes] = {}
         self._memo_bytes, self._held = memo_bytes, 0
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Ids of a whole UTF-8 text; none for NULL."""
         text = text or b""
-        if self._cut is None or not self._cut.search(text):
+        if not self._added or self._begins not in text or not self._cut.search(text):
             return np.frombuffer(self._ids(text), self.dtype)
         between = self._cut.split(text)
         ids = [self._added[p] if i % 2 else self._ids(p) for i, p in enumerate(between)]
@@ -64,21 +67,21 @@ class WordEncoder:
         return b"".join(map(memo.__getitem__, words))
 
     def _learn(self, words: list[bytes]) -> None:
-        memo = self._memo
+        memo, held = self._memo, 0
         parts = {w: self._parts(w) for w in words}
         unknown = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in memo]
         found = self._tokenizer.encode_batch_fast(
             [p.decode() for p in unknown], add_special_tokens=False
         )
         for part, encoding in zip(unknown, found, strict=True):
-            self._keep(part, np.array(encoding.ids, self.dtype).tobytes())
+            memo[part] = array(self._code, encoding.ids).tobytes()
+            held += len(part)
         for word, pieces in parts.items():
             if len(pieces) > 1:
-                self._keep(word, memo[pieces[0]] + memo[pieces[1]])
-
-    def _keep(self, word: bytes, ids: bytes) -> None:
-        self._memo[word] = ids
-        self._held += len(word) + len(ids) + 150  # two objects and their place in the table
+                memo[word] = memo[pieces[0]] + memo[pieces[1]]
+                held += len(word)
+        # The ids of a word take no more room than its bytes, two objects and a place in the table.
+        self._held += 2 * held + 150 * (len(unknown) + len(parts))
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
