@@ -140,11 +140,14 @@ _USERS = {
 }
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Derive the input tables from ``{sf_dir}/events.parquet`` and ``customer.parquet``."""
+def fixture_tables(spark: SparkSession, sf_dir: str, shuffled: bool = False) -> Tables:
+    """Derive the input tables from ``{sf_dir}/events.parquet`` and ``customer.parquet``.
+
+    ``shuffled``: events and customers meet by a shuffle, so no customers pass the driver.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    activity = _activity(events, customer)
+    activity = _activity(events, customer.hint("merge") if shuffled else customer)
     is_page = F.col("event_type").isin("view", "purchase")
     snapshots = customer.withColumn("n", F.explode(F.expr("sequence(0L, c_custkey % 2)")))
     return Tables(
@@ -208,12 +211,39 @@ def fixture_state(spark: SparkSession, sf_dir: str) -> Stored:
     temporary folder.
     """
     state = UsageState(spark, f"{_shared_root(spark, sf_dir)}/state")
-    tables = fixture(spark, sf_dir)
+    tables = _events_by_day(spark, sf_dir)
     for through in STATE_LOADS:
         state.update(tables, through)
     return state.tables()
 
 
+def _events_by_day(spark: SparkSession, sf_dir: str) -> Tables:
+    """The input tables, events by UTC day: what loads read, of which each takes its days only.
+
+    They are derived and written once per application; every load would derive all of them again.
+    """
+    root = f"{_shared_root(spark, sf_dir)}/events"
+    copy = _root(spark, sf_dir)
+    if _published(spark, copy) is None:
+        source = fixture_tables(spark, sf_dir, shuffled=True)
+    else:
+        source = fixture(spark, sf_dir)
+    if _published(spark, root) is None:
+        name = uuid4().hex
+        write_events(source.pages.select(*_PAGES), f"{root}/{name}/pages")
+        write_events(source.tracks.select(*_TRACKS), f"{root}/{name}/tracks")
+        _publish(spark, root, name)
+    folder = f"{root}/{_published(spark, root)}"
+    pages = _read_events(spark, source.pages.select(*_PAGES), f"{folder}/pages")
+    tracks = _read_events(spark, source.tracks.select(*_TRACKS), f"{folder}/tracks")
+    return replace(source, pages=pages, tracks=tracks, day_column=DAY_COLUMN)
+
+
+def _read_events(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
+    """Events by day with the columns of ``like``; none if none were written."""
+    return spark.read.schema(like.schema.add(DAY_COLUMN, "date")).parquet(path)
+
+
 def fixture_days(spark: SparkSession, sf_dir: str) -> Tables:
     """The input tables in the layout for production: events by UTC day, and the lookup.
 

@@ -14,7 +14,7 @@ from stridelog.operators import bitmaps
 from stridelog.operators.domains import user_domains
 from stridelog.plans import active, stored
 from stridelog.sources import layout
-from stridelog.sources.fixtures import fixture
+from stridelog.sources.fixtures import fixture, fixture_state, fixture_tables
 from stridelog.sources.generations import Conflict, Generation, Generations
 from stridelog.sources.state import UsageState
 
@@ -267,3 +267,46 @@ def test_sessions_day_by_day_equal_the_whole(spark):
         last = spark.createDataFrame([tuple(r[c] for c in last.columns) for r in newest.values()], last.schema)
     merged = spark.createDataFrame([tuple(r[c] for c in last.columns) for r in over], last.schema).unionByName(last)
     assert SORTED(merged.select("user_id", "session_id", "events", "first_ts", "last_ts")) == whole
+
+
+def derived_input(spark, folder, events):
+    columns = "event_id bigint, ts timestamp, user_id bigint, event_type string, props string"
+    spark.createDataFrame(events, columns).write.parquet(f"{folder}/events.parquet")
+    customers = [(1, 0, "BUILDING"), (2, 1, "MACHINERY"), (3, 2, None)]
+    columns = "c_custkey bigint, c_nationkey int, c_mktsegment string"
+    spark.createDataFrame(customers, columns).write.parquet(f"{folder}/customer.parquet")
+    return str(folder)
+
+
+def loaded(monkeypatch):
+    """Collects the tables that loads read."""
+    seen, update = [], UsageState.update
+
+    def spy(state, t, *args):
+        seen.append(t)
+        return update(state, t, *args)
+
+    monkeypatch.setattr(UsageState, "update", spy)
+    return seen
+
+
+def test_the_input_of_the_loads_is_derived_once(spark, tmp_path, monkeypatch):
+    at = datetime(2024, 1, 3, 8)
+    events = [(i, at + timedelta(days=i % 9, hours=i), i % 5, "view" if i % 3 else "click", '{"k": %d}' % i) for i in range(60)]
+    events += [(100, None, 1, "view", '{"k": 4}'), (101, at, None, "view", None), (102, at, 1, None, None), events[0]]
+    sf_dir, seen = derived_input(spark, tmp_path / "sf", events), loaded(monkeypatch)
+    s = fixture_state(spark, sf_dir)
+    direct = fixture_tables(spark, sf_dir)
+    assert len(seen) > 1
+    for t in seen:
+        assert t.day_column == layout.DAY_COLUMN
+        for name in ("pages", "tracks"):
+            by_day, rows_of = getattr(t, name), getattr(direct, name)
+            assert not [f for f in by_day.inputFiles() if f.startswith(f"file://{sf_dir}")]
+            assert SORTED(by_day.select(rows_of.columns)) == SORTED(rows_of)
+    same_as_direct(s, direct, registry.EVERY_CUSTOMER, REPORTS)
+
+
+def test_loads_take_an_input_without_events(spark, tmp_path):
+    s = fixture_state(spark, derived_input(spark, tmp_path / "sf", []))
+    assert rows(s.domains) == [] and rows(stored.dau_by_domain(s, registry.PARAMS)) == []
