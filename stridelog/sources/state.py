@@ -134,10 +134,12 @@ class UsageState:
         lookup = update_domains(
             self.store.read("domains", base), _viewed(pages).unionByName(_viewed(undated))
         )
-        domains = self._replaced(loads, "domains", load, lookup)
+        domains = _large(self._replaced(loads, "domains", load, lookup))
         seen = pages.select("user_id").unionByName(tracks.select("user_id"))
         seen = seen.unionByName(undated.select("user_id"))
-        numbers = self._added(loads, "numbers", load, self._new_users(base, seen, domains))
+        numbers = _large(
+            self._added(loads, "numbers", load, self._new_users(base, seen, domains))
+        )
         homes = domains.join(numbers, "user_id", "left")
         self._replaced(loads, "homes", load, user_sets(homes, "domain"))
         days = user_sets(
@@ -171,7 +173,7 @@ class UsageState:
 
     def _new_users(self, base: Generation, seen: DataFrame, domains: DataFrame) -> DataFrame:
         """Users without a number, numbered domain by domain above all numbers given so far."""
-        known = self.store.read("numbers", base)
+        known = _large(self.store.read("numbers", base))
         given = known.agg(F.coalesce(F.max(NUMBER), F.lit(-1))).first()[0]
         return (
             seen.distinct()
@@ -223,6 +225,15 @@ def _areas(pages: DataFrame) -> DataFrame:
     )
 
 
+def _large(users: DataFrame) -> DataFrame:
+    """A table with a row per user: it grows with the input, so no join broadcasts it.
+
+    Its files may be small enough for Spark to choose that, but every join of every load would
+    send it through the driver.
+    """
+    return users.hint("merge")
+
+
 def _viewed(pages: DataFrame) -> DataFrame:
     return pages.select("user_id", "domain")
 

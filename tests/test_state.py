@@ -310,3 +310,24 @@ def test_the_input_of_the_loads_is_derived_once(spark, tmp_path, monkeypatch):
 def test_loads_take_an_input_without_events(spark, tmp_path):
     s = fixture_state(spark, derived_input(spark, tmp_path / "sf", []))
     assert rows(s.domains) == [] and rows(stored.dau_by_domain(s, registry.PARAMS)) == []
+
+
+def test_no_load_broadcasts_users(spark, tables, tmp_path, monkeypatch):
+    plans, write = {}, Generations.write
+
+    def spy(store, table, load, frame, *by):
+        plans[table] = frame._jdf.queryExecution().executedPlan().toString()
+        write(store, table, load, frame, *by)
+
+    monkeypatch.setattr(Generations, "write", spy)
+    state = UsageState(spark, str(tmp_path / "state"))
+    state.update(tables, DAYS[0])
+    state.update(tables, DAYS[3])
+    for table in ("numbers", "homes", "active", "areas"):
+        assert "Join" in plans[table] and "BroadcastExchange" not in plans[table], table
+
+
+def test_no_customers_are_broadcast_to_derive_the_input_of_loads(spark):
+    t = fixture_tables(spark, SF_DIR, shuffled=True)
+    for frame in (t.pages, t.tracks):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
