@@ -13,6 +13,8 @@ import numpy as np
 
 #: Marks that end a word; after an ASCII letter or digit they are split off before any merge.
 END_MARKS = b".,!?;:"
+#: A word between words that are encoded together; a control character, which texts hardly hold.
+BETWEEN = b"\x01"
 
 
 class WordEncoder:
@@ -43,6 +45,8 @@ class WordEncoder:
         longest_first = sorted(self._added, key=len, reverse=True)
         self._cut = re.compile(b"(%s)" % b"|".join(map(re.escape, longest_first)))
         self._begins = os.path.commonprefix(longest_first)  # the search for it is the faster one
+        between = self._tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
+        self._between = between[0] if len(between) == 1 else None
         self._memo: dict[bytes, bytes] = {}
         self._memo_bytes, self._held = memo_bytes, 0
 
@@ -61,27 +65,45 @@ class WordEncoder:
         if self._held > self._memo_bytes:
             memo.clear()
             self._held = 0
-        new = [w for w in dict.fromkeys(words) if w not in memo]
+        new = set(words).difference(memo)
         if new:
             self._learn(new)
         return b"".join(map(memo.__getitem__, words))
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         memo, held = self._memo, 0
-        parts = {w: self._parts(w) for w in words}
-        unknown = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in memo]
-        found = self._tokenizer.encode_batch_fast(
-            [p.decode() for p in unknown], add_special_tokens=False
+        marked = {w: parts for w in words if len(parts := self._parts(w)) > 1}
+        unknown = list(
+            words.difference(marked).union(chain.from_iterable(marked.values())).difference(memo)
         )
-        for part, encoding in zip(unknown, found, strict=True):
-            memo[part] = array(self._code, encoding.ids).tobytes()
+        for part, ids in zip(unknown, self._encoded(unknown), strict=True):
+            memo[part] = ids
             held += len(part)
-        for word, pieces in parts.items():
-            if len(pieces) > 1:
-                memo[word] = memo[pieces[0]] + memo[pieces[1]]
-                held += len(word)
+        for word, (stem, mark) in marked.items():
+            memo[word] = memo[stem] + memo[mark]
+            held += len(word)
         # The ids of a word take no more room than its bytes, two objects and a place in the table.
-        self._held += 2 * held + 150 * (len(unknown) + len(parts))
+        self._held += 2 * held + 150 * (len(unknown) + len(marked))
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word.
+
+        They are encoded as one text, since a call costs as much as a word, with a word between
+        them that none of them can hold; its id tells where a word ends.
+        """
+        if self._between is not None and not any(BETWEEN in w for w in words):
+            text = (b" %s " % BETWEEN).join(words).decode()
+            (found,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype)
+            ends = np.flatnonzero(ids == self._between)
+            if len(ends) == len(words) - 1:  # else a word has that id too
+                size, ids = self.dtype.itemsize, ids.tobytes()
+                starts = [0, *((ends + 1) * size).tolist()]
+                return [ids[i:j] for i, j in zip(starts, [*(ends * size).tolist(), len(ids)])]
+        found = self._tokenizer.encode_batch_fast(
+            [w.decode() for w in words], add_special_tokens=False
+        )
+        return [array(self._code, encoding.ids).tobytes() for encoding in found]
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:

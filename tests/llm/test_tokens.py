@@ -230,3 +230,21 @@ def test_words_encode_as_the_library_does_with_its_own_tokens():
         expected = tokenizer.encode(text, add_special_tokens=False).ids
         assert words.encode(text.encode()).tolist() == expected, text
     assert words._held < 4_000
+
+
+def test_new_words_of_a_text_are_encoded_in_one_call(words):
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = WordEncoder(WORDS)
+    encoder._tokenizer = counting = Counting(encoder._tokenizer)
+    text = "some, words; that vary: \u00e9t\u00e9 zwq9x \u00a0 a\u00a0b $% \u4e2d\u6587!"
+    assert encoder.encode(text.encode()).tolist() == words(text)
+    assert counting.texts == 1
+    for text in ("\x01", "p \x01 q", "r\x01s t\x01 \x01u", "\x01\x01 v"):  # what stands between words
+        assert encoder.encode(text.encode()).tolist() == words(text), text
